@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from gridsmith.llm import pieces
+from gridsmith.llm import fingerprints, media, pieces, secrets
 
-QUERIES = {"op5_pieces": pieces.query}
+QUERIES = {
+    "op3_media": media.query,
+    "op5_pieces": pieces.query,
+    "op9_secrets": secrets.query,
+    "op10_fingerprints": fingerprints.query,
+}
 ORACLE_SQL: dict[str, str] = {}
