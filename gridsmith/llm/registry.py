@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridsmith.llm import fingerprints, media, pieces, secrets
+from gridsmith.llm import fingerprints, media, mixing, pieces, secrets
 
 QUERIES = {
+    "op2_mixing": mixing.query,
     "op3_media": media.query,
     "op5_pieces": pieces.query,
     "op9_secrets": secrets.query,
     "op10_fingerprints": fingerprints.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
