@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gridsmith.llm import fingerprints, media, mixing, pieces, secrets
+from gridsmith.llm import fingerprints, media, mixing, pagetext, pieces, secrets, urls
 
 QUERIES = {
     "op2_mixing": mixing.query,
     "op3_media": media.query,
+    "op4_pagetext": pagetext.query,
     "op5_pieces": pieces.query,
+    "op8_urls": urls.query,
     "op9_secrets": secrets.query,
     "op10_fingerprints": fingerprints.query,
 }
