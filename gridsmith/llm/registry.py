@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridsmith.llm import fingerprints, media, mixing, pagetext, pieces, secrets, urls
+from gridsmith.llm import fingerprints, media, mixing, neardup, pagetext, pieces, secrets, toxicity, urls
 
 QUERIES = {
     "op2_mixing": mixing.query,
     "op3_media": media.query,
     "op4_pagetext": pagetext.query,
     "op5_pieces": pieces.query,
+    "op6_toxicity": toxicity.query,
+    "op7_neardup": neardup.query,
     "op8_urls": urls.query,
     "op9_secrets": secrets.query,
     "op10_fingerprints": fingerprints.query,
