@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridsmith.llm import fingerprints, media, mixing, neardup, pagetext, pieces, secrets, toxicity, urls
+from gridsmith.llm import fingerprints, linededup, media, mixing, neardup, pagetext, pieces, secrets, toxicity, urls
 
 QUERIES = {
+    "op1_linededup": linededup.query,
     "op2_mixing": mixing.query,
     "op3_media": media.query,
     "op4_pagetext": pagetext.query,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_secrets": secrets.query,
     "op10_fingerprints": fingerprints.query,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_linededup": linededup.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL}
