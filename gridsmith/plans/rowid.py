@@ -33,7 +33,7 @@ def by_partition(df: DataFrame) -> DataFrame:
     sizes = rows.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rows = rows.withColumn("__p", part).join(sizes, "__p")
+    rows = rows.withColumn("__p", part).join(F.broadcast(sizes), "__p")  # one row a partition
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1).alias(RID))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "gridsmith", master: str | None = None, jobs: int | None = None) -> SparkSession:
-    """The running session, or a new one: ANSI on, adaptive execution on, UTC; ``jobs`` sets the shuffle partitions."""
+    """The running session as it is, or a new one: ANSI on, adaptive execution on, UTC; ``jobs`` sets the shuffle partitions."""
+    if running := SparkSession.getActiveSession():
+        return running
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsmith.columns import resolve_list
 from gridsmith.frame import quoted
@@ -40,9 +41,9 @@ def pipeline(stream: DataFrame, keep: str | None = None, create: str | None = No
 def frequency(stream: DataFrame, time: str, columns: str, window: str, lateness: str) -> DataFrame:
     """Counts of values in tumbling windows; windows older than the watermark are closed and their state dropped."""
     names = resolve_list(stream.columns, columns)
-    stream = stream.withColumn("__t", quoted(time).cast("timestamp")).withWatermark("__t", lateness)
+    stream = stream.withColumn("__t", quoted(time).cast(T.TimestampType())).withWatermark("__t", lateness)
     out = stream.groupBy(F.window("__t", window).alias("__w"), *[quoted(n) for n in names]).agg(F.count(F.lit(1)).alias("frequency"))
-    return out.select(F.col("__w.start").cast("timestamp_ntz").alias("window_start"), *[quoted(n) for n in names], "frequency")
+    return out.select(F.col("__w.start").cast(T.TimestampNTZType()).alias("window_start"), *[quoted(n) for n in names], "frequency")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
