@@ -115,7 +115,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float =
     cuts = rows.groupBy("source").agg(*[F.max(F.when(f, place)).alias(f"cut{p}") for p, f in enumerate(fits)])
     mine = F.struct(shuffle_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"), size_of(F.col("text")).alias("size"))
     out = _joined(docs.withColumn("_mine", mine), cuts)
-    passes = F.array_compact(F.array(*[F.when(F.coalesce(F.col("_mine") <= F.col(f"cut{p}"), F.lit(False)), F.lit(p)) for p in range(cap)]))
+    passes = F.array_compact(F.array(*[F.when(F.coalesce((F.col("_mine") <= F.col(f"cut{p}")) & (F.col("_mine.size") > 0), F.lit(False)), F.lit(p)) for p in range(cap)]))
     out = out.withColumn("_pass", F.explode(passes))
     if ordered:
         times = rows.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), F.col("source").alias("_s2"), (F.col("source_size") / F.col("target")).alias("_epoch"), F.col("finish").alias("_finish")).dropDuplicates(["_k", "_d", "_s2"])

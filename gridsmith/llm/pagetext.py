@@ -48,6 +48,8 @@ BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset fig
 SMOOTHING = 0.5
 WORD_FLOOR = 0.25
 TAG_CEILING = -0.05
+TAG_SCALE = 16
+REGION_FLOOR = -0.05
 
 
 def tokens(page: str):
@@ -159,7 +161,7 @@ def learn(pages: list[str]) -> tuple[dict[str, float], dict[str, float], float]:
         odds = math.log((inside[f] + SMOOTHING) / (outside[f] + SMOOTHING))
         weights[f] = max(odds, -WORD_FLOOR) if inside[f] else odds
         weights[f] = min(weights[f], word)
-    tags = {t: min(TAG_CEILING, math.log((tag_in[t] + SMOOTHING) / (tag_out[t] + SMOOTHING)) / 4) for t in tag_in.keys() | tag_out.keys()}
+    tags = {t: min(TAG_CEILING, math.log((tag_in[t] + SMOOTHING) / (tag_out[t] + SMOOTHING)) / TAG_SCALE) for t in tag_in.keys() | tag_out.keys()}
     return weights, tags, word
 
 
@@ -213,7 +215,8 @@ class Extractor:
                             if (w := get(f, 0.0)) < 0:
                                 each += w
                 n = len(value.split())
-                total += n * each if n else 0.0
+                # words that are no main text part regions, but a long notice inside an article does not end it
+                total += n * max(each, REGION_FLOOR) if n else 0.0
                 runs.append((value, each))
             if total <= 0:
                 total, start = 0.0, len(runs)

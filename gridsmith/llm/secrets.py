@@ -36,7 +36,7 @@ ADDED = ("jwt", "der", "ssh", "armour")
 RANK = {k: i for i, k in enumerate(BASE + ADDED)}
 
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-JWT = re.compile(r"ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+JWT = re.compile(r"ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 HEX_RUN = re.compile(r"\b(?:[0-9a-fA-F]{2}){24,}\b")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(.*?)-----END \1-----", re.S)

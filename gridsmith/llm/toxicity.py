@@ -3,7 +3,7 @@
 Words are a chain of two states, clean and toxic.  Emissions are sums of learned
 weights of a word's features (the word, its beginnings and endings); transitions
 are learned too.  Forward-backward marginals give each word's probability of
-being toxic; their sum and maximum, through a logistic calibration, give the
+being toxic; the sum and maximum of the marked ones, through a logistic calibration, give the
 document's score, and words above SPAN_LEVEL give the offending offsets.
 
 Labels are of documents, so the words' training labels come from them: a word of
@@ -41,6 +41,7 @@ ROUNDS, RATE, L2 = 40, 0.5, 0.05
 FIT_DOCS = 200
 BLOCK = 64
 SPAN_LEVEL = 0.5
+COUNTED = 0.2
 HOLD_FOLD, FOLDS = 0, 5
 KEPT_WORDS = 300_000
 WORD = re.compile(r"\w+")
@@ -176,7 +177,11 @@ class Model:
 
 
 def gathered(p: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """What the calibration sees of each document: the log of its summed marginals, and their maximum."""
+    """What the calibration sees of each document: the log of its summed marginals, and their maximum.
+
+    Marginals below COUNTED are left out of the sum, so that a very long document
+    does not become toxic by many words that are hardly suspect."""
+    p = np.where(p >= COUNTED, p, 0.0)
     lengths = np.asarray(lengths, dtype=np.int64)
     total, most = np.zeros(lengths.size), np.zeros(lengths.size)
     full = np.flatnonzero(lengths)
