@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from gridsmith import streaming
 from gridsmith.frame import Table, quoted
 from gridsmith.operators import binning, correlation, dedup, filling, filtering, joining, outliers, projection, sampling, sizes, sorting, summaries
-from gridsmith.plans.rowid import RID
 from gridsmith.sources import files, footer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,4 +302,4 @@ def stream_frequency(spark, sf_dir):
     return streaming.run_to_table(streaming.frequency(streaming.read(spark, sf_dir, "events"), "ts", "event_type", "1 day", "2 days"), mode="complete")
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "RID", "load"]
+__all__ = ["ORACLE_SQL", "QUERIES", "load"]
