@@ -4,10 +4,15 @@ Equal texts are one node.  Each node's words become occurrence-labelled five-wor
 shingles; M sketch values of ELL ordered minima each are its buckets.  Within a
 bucket every node is first aligned with one leader (a different one in each
 bucket); links give components; then, exactly, the pairs that are still open are
-aligned: nodes of one bucket in different components, except those that the
-triangle inequality with their leader rules out.  So a group of thousands of near
-copies costs a few alignments a member instead of all pairs, and no candidate pair
-between different texts is lost.
+aligned: nodes of one bucket in different components.  In a bucket of up to
+SMALL_BUCKET nodes these are all pairs but those that the triangle inequality with
+their leader rules out.  The nodes of larger buckets (texts that share a common
+passage fall together in thousands) are aligned with a second, central leader, and
+then meet only on one of their rarest shingles, and
+only where the places of that shingle leave room for enough others: any two sets
+alike by LIKE share one among the first (1 - LIKE) of each in order of rarity.  So
+a group of thousands costs a few alignments a member instead of all pairs, and no
+candidate pair between different texts is lost.
 
 Likeness of two texts: L / (n + m - L), with L the longest common subsequence of
 their labelled shingles (n and m of them) inside the band of diagonals that any
@@ -30,7 +35,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsmith.llm.arrowmap import slices, table
@@ -41,7 +46,8 @@ from gridsmith.llm.scratch import Scratch
 LIKE = 0.8
 M, ELL = 24, 4
 SMALL_IDS = 500_000
-SENT_DIGESTS = 200_000
+SMALL_BUCKET = 16
+SENT_DIGESTS = 20_000
 
 
 def digest_of(text: Column) -> Column:
@@ -149,6 +155,45 @@ def _with_sequences(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "seq_a", "seq_b")
 
 
+def _tokens(nodes: DataFrame, seqs: DataFrame, scratch: Scratch) -> DataFrame:
+    """token, node, n (the node's distinct shingles) and c (how many of ``nodes`` have the token)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                tokens, owners, sizes = [], [], []
+                for node, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    own = np.unique(np.frombuffer(raw, "<u4"))
+                    tokens.append(own)
+                    owners += [node] * own.size
+                    sizes += [own.size] * own.size
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(owners), pa.array(sizes, pa.int64())], names=["token", "node", "n"])
+
+    tokens = scratch.keep(nodes.join(seqs, "node").select("node", "seq").mapInArrow(run, "token bigint, node string, n bigint"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    return scratch.keep(tokens.join(counts, "token"))
+
+
+def _rarely_met(tokens: DataFrame, roots: DataFrame, like: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of different components that share a shingle among their rarest and may
+    be alike by ``like``: prefix, length and position filters, all exact.
+
+    Shingles are ordered by how many of these nodes have them; n - ceil(like * n) + 1
+    of a node's n are its prefix.  What comes after the places of a shared one bounds
+    the overlap, which must reach like / (1 + like) of both sizes together.
+    """
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
+    rare = tokens.withColumn("place", place)
+    rare = rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * like - 1e-9) + 1) & (F.col("c") > 1)).drop("c")
+    rare = scratch.keep(rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    a = rare.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    b = rare.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (like / (1 + like)) - 1e-6
+    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * like - 1e-6) & room)
+    return met.select("a", "b").distinct()
+
+
 def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL, k: int = K, scratch: Scratch | None = None) -> DataFrame:
     """One row a distinct text: digest, root (the class's least digest), doc_id (its least), n (its rows), class_id, class_rows and links.
 
@@ -176,19 +221,37 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
 
     # Buckets whose nodes are not of one component have pairs that are still open.
     known = inside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = known.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "value")
+    mixed = known.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "value", "size")
     toward = scores.select(F.col("a").alias("node"), F.col("b").alias("leader"), "alike")
-    open_ = known.join(mixed, ["band", "value"]).join(toward, ["node", "leader"], "left").select("band", "value", "node", "root", F.coalesce("alike", F.lit(1.0)).alias("alike"))
+    open_ = known.join(mixed, ["band", "value"]).join(toward, ["node", "leader"], "left").select("band", "value", "size", "node", "root", F.coalesce("alike", F.lit(1.0)).alias("alike"))
     open_ = scratch.keep(open_)
-    y = open_.where(F.col("alike") < like).select("band", "value", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("alike").alias("alike_a"))
-    x = open_.select("band", "value", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("alike").alias("alike_b"))
+    large = open_.where(F.col("size") > SMALL_BUCKET).select("band", "value", "node", "root")
+    tokens = None
+    if large.take(1):
+        tokens = _tokens(large.select("node").distinct(), seqs, scratch)
+        # a second leader in each large bucket: the node with the most common shingles, which is alike with most of a group
+        central = tokens.groupBy("node").agg(F.avg("c").alias("common"))
+        best = F.struct("common", "node")
+        centers = large.join(central, "node").groupBy("band", "value").agg(F.max_by("node", best).alias("b"), F.max_by("root", best).alias("root_b"))
+        toward = scratch.keep(large.join(centers, ["band", "value"]).where("root <> root_b").select(F.col("node").alias("a"), "b").distinct())
+        more = scratch.keep(_aligned(_with_sequences(toward, seqs), like).where(F.col("alike") >= like).select("a", "b"))
+        links = links.unionByName(more)
+        if more.take(1):
+            # components of components
+            roots = scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch))
+    small = open_.where(F.col("size") <= SMALL_BUCKET).drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    y = small.where(F.col("alike") < like).select("band", "value", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("alike").alias("alike_a"))
+    x = small.select("band", "value", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("alike").alias("alike_b"))
     # 1 - likeness is a metric: alike(a, b) >= like needs the two distances to the leader to differ by at most 1 - like
     possible = (F.col("root_a") != F.col("root_b")) & F.when(F.col("alike_b") >= like, F.col("alike_b") - F.col("alike_a") <= 1 - like + 1e-9).otherwise(F.col("a") < F.col("b"))
-    second = scratch.keep(y.join(x, ["band", "value"]).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    second = y.join(x, ["band", "value"]).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if tokens is not None:
+        second = second.unionByName(_rarely_met(tokens, roots, like, scratch))
+    second = scratch.keep(second.distinct())
     late = scratch.keep(_aligned(_with_sequences(second, seqs), like).where(F.col("alike") >= like).select("a", "b"))
     links = links.unionByName(late)
     if late.take(1):
-        roots = scratch.keep(components(links, scratch))
+        roots = scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late), scratch))
     scratch.drop(inside, first, wanted, open_, second, seqs)
 
     count = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -17,7 +17,7 @@ import xxhash
 
 K = 5
 BLOCK = 1 << 14
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
