@@ -29,7 +29,8 @@ from gridsmith.llm.arrowmap import arrow_map, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_PARTS = 400_000
+CACHE_PARTS = 300_000
+KEPT_FITS = 300_000
 CACHED_CHARS = 64
 
 
@@ -106,15 +107,20 @@ class PieceModel:
         known = "".join(map(re.escape, sorted(self.alphabet)))
         self.find_known = re.compile(f"([{known}]+)|([^{known}])").findall
         #: Pieces that merging can make; the others never occur in a result.
-        self.good = frozenset(p for p in self.ids if self.merged(p) == [p])
+        self.good = {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
+        #: The size of each piece's longest proper prefix that is a piece too; 0 if there is none.
+        self.shorter = [0] * len(self.pieces)
+        for p, i in self.good.items():
+            self.shorter[i] = next((k for k in range(len(p) - 1, 0, -1) if p[:k] in self.good), 0)
+        self.decimals = [str(i) for i in range(len(self.pieces))]
         self.machine = ahocorasick.Automaton()
         for p in self.good:
             self.machine.add_word(p, len(p))
         self.machine.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         # encoded parts; the old half goes when the young half is full
-        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: best rank first, leftmost among equals.  For short texts only."""
@@ -131,61 +137,64 @@ class PieceModel:
             syms[at : at + 2] = [syms[at] + syms[at + 1]]
         return syms
 
-    def _fit(self, left: str, right: str) -> bool:
+    def _fit(self, left: int, right: int) -> bool:
         """Whether merging the joined text gives the two pieces back."""
-        if len(self.fits) > 400_000:
+        if len(self.fits) > KEPT_FITS:
             self.fits.clear()
-        ok = self.fits[left, right] = self.merged(left + right) == [left, right]
+        a, b = self.pieces[left], self.pieces[right]
+        ok = self.fits[left << 24 | right] = self.merged(a + b) == [a, b]
         return ok
 
-    def _backtrack(self, text: str) -> list[str]:
-        """The pieces of a text all of whose characters are pieces."""
+    def _backtrack(self, text: str) -> list[int]:
+        """The ids of a text all of whose characters are pieces."""
         n = len(text)
         at_most = [1] * n  # the longest piece that begins at each place
         for end, size in self.machine.iter(text):
             if size > at_most[end - size + 1]:
                 at_most[end - size + 1] = size
-        fits, good = self.fits, self.good
+        get_fit, good, shorter = self.fits.get, self.good, self.shorter
         closed = 0  # the bitfield: bit p is set if place p does not lead to the end
-        out: list[str] = []
-        last = ""
+        out: list[int] = []
+        ends = [0]
+        last = -1
         pos, size = 0, at_most[0]
         while pos < n:
             while size:
-                piece = text[pos : pos + size]
-                if (size == 1 or piece in good) and not (closed and closed >> (pos + size) & 1):
-                    if not last or ((ok := fits.get((last, piece))) or (ok is None and self._fit(last, piece))):
-                        break
-                size -= 1
+                end = pos + size
+                piece = good[text[pos:end]]
+                if not (closed and closed >> end & 1) and (last < 0 or ((ok := get_fit(last << 24 | piece)) or (ok is None and self._fit(last, piece)))):
+                    break
+                size = shorter[piece]
             if size:
                 out.append(piece)
+                ends.append(end)
                 last = piece
-                pos += size
-                size = at_most[pos] if pos < n else 0
+                pos = end
+                if pos < n:
+                    size = at_most[pos]
             else:
-                if not last:
+                # step back: this place is closed, and the last piece's next shorter one is tried
+                if last < 0:
                     raise RuntimeError("no piece sequence")
                 closed |= 1 << pos
-                out.pop()
-                pos -= len(last)
-                size = len(last)
-                last = out[-1] if out else ""
+                ends.pop()
+                pos = ends[-1]
+                size = shorter[out.pop()]
+                last = out[-1] if out else -1
         return out
 
-    def _new_part(self, part: str) -> tuple[tuple[int, ...], str]:
-        """Ids of one part, and their text; characters without a piece become bytes or the unknown id."""
-        ids = self.ids
+    def _new_part(self, part: str) -> tuple[int, ...]:
+        """Ids of one part; characters without a piece become bytes or the unknown id."""
         if self.alphabet.issuperset(part):
-            out = tuple([ids[p] for p in self._backtrack(part)])
+            made = tuple(self._backtrack(part))
         else:
             got: list[int] = []
             for known, other in self.find_known(part):
                 if known:
-                    got.extend([ids[p] for p in self._backtrack(known)])
+                    got += self._backtrack(known)
                 else:
-                    got.extend([self.byte_ids[b] for b in other.encode()] if self.byte_fallback else [self.unk])
-            out = tuple(got)
-        made = (out, ",".join(map(str, out)))
+                    got += [self.byte_ids[b] for b in other.encode()] if self.byte_fallback else [self.unk]
+            made = tuple(got)
         if len(part) <= CACHED_CHARS:
             if len(self.young) >= CACHE_PARTS // 2:
                 self.old, self.young = self.young, {}
@@ -199,17 +208,19 @@ class PieceModel:
         return self.find_parts(text) if self.cuttable else [text]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_with_text(text)[0]
+        ids: list[int] = []
+        young, old = self.young.get, self.old.get
+        for part in self._cut(text):
+            if (got := young(part)) is None and (got := old(part)) is None:
+                got = self._new_part(part)
+                young, old = self.young.get, self.old.get
+            ids += got
+        return ids
 
     def encode_with_text(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same in decimal joined by commas."""
-        ids: list[int] = []
-        texts = []
-        for part in self._cut(text):
-            got = self.young.get(part) or self.old.get(part) or self._new_part(part)
-            ids += got[0]
-            texts.append(got[1])
-        return ids, ",".join(texts)
+        ids = self.encode(text)
+        return ids, ",".join(map(self.decimals.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The library's text for ids: bytes joined to characters, invalid ones
