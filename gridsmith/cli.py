@@ -108,7 +108,7 @@ COMMANDS = {
     "metadata": ("Parquet footer", None, [O("--schema", **FLAG), O("--row-groups", **FLAG), O("--column-chunks", **FLAG), O("--compression", **FLAG), O("--encoding", **FLAG), O("--statistics", **FLAG), O("--all", **FLAG), O("--detailed", **FLAG)]),
     "stats": ("Column statistics", lambda t, a: summaries.stats(t, a.columns, a.stats_type), [O("-c", "--columns"), O("-t", "--stats-type", default="basic")]),
     "correlations": ("Correlations", _correlations, [O("-c", "--columns"), O("-t", "--type", default="pearson"), O("--matrix", **FLAG), O("--tests"), O("--digits", type=int, default=4)]),
-    "frequency": ("Counts of values", lambda t, a: summaries.frequency(t, a.columns), [O("-c", "--columns", required=True)]),
+    "frequency": ("Counts of values", lambda t, a: summaries.frequency(t, a.columns, percentage=not (a.output or a.format)), [O("-c", "--columns", required=True)]),
     "outliers": ("Outlying values", _outliers, [O("-c", "--columns"), O("-m", "--method", default="iqr"), O("--iqr-multiplier", type=float, default=1.5), O("--z-score-threshold", type=float, default=3.0), O("--show-values", **FLAG), O("--include-row-numbers", **FLAG), O("--remove", **FLAG)]),
     "select": ("Choose columns or rows", lambda t, a: _rows_or_columns(t, a, projection.select_columns, filtering.select_rows), [O("-c", "--columns"), O("-r", "--rows")]),
     "drop": ("Drop columns or rows", lambda t, a: _rows_or_columns(t, a, projection.drop_columns, filtering.drop_rows), [O("-c", "--columns"), O("-r", "--rows")]),
@@ -170,6 +170,8 @@ def main(argv: list[str] | None = None) -> int:
         else:
             df: DataFrame = out.df if isinstance(out, Table) else out
             print(display.text(df, a.format))
+            if a.command == "stats" and not a.format:
+                print(f"count | {files.read(spark, a.input).rows.count()}")
         return 0
     except (GridError, NotImplementedError, OSError) as e:
         print(f"Error: {e}", file=sys.stderr)

@@ -80,7 +80,11 @@ def test_command_line(spark, tables, tmp_path, capsys):
     assert code == 0 and [r["id"] for r in json.loads(out.out)] == [1, 2]
     code, out = run("filter", path, "-c", "id>3,category=B", "-f", "json")
     assert code == 0 and len(json.loads(out.out)) == 1
-    assert run("stats", path)[0] == 0 and run("correlations", path, "--matrix", "-c", "id,value")[0] == 0
+    code, out = run("stats", path)
+    assert code == 0 and out.out.endswith("count | 5\n")
+    code, out = run("frequency", path, "-c", "category")
+    assert code == 0 and "percentage" in out.out and "40.000" in out.out
+    assert run("correlations", path, "--matrix", "-c", "id,value")[0] == 0
     target = str(tmp_path / "o.csv")
     assert run("sort", path, "-c", "value", "-d", "-o", target)[0] == 0 and files.read(spark, target).df.first()["id"] == 5
     assert run("split", path, "--ratio", "0.6,0.4", "--random", "1", "--output-dir", str(tmp_path))[0] == 0
