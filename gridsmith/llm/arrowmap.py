@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
-SLICE_ROWS = 1024
-SLICE_BYTES = 8 << 20
+SLICE_ROWS = 512
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch between the JVM and Python; both hold whole batches.
+BATCH_ROWS = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,21 @@ def slices(batch: pa.RecordBatch):
         yield batch.slice(at, rows)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with small batches, giving Arrow's unused memory back after each task."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCHES)) <= BATCH_ROWS:
+        conf.set(_BATCHES, str(BATCH_ROWS))
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
+
+
 def arrow_map(df: DataFrame, schema: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
     """Apply ``make()`` (called once a task) to slices of ``df``.
 
@@ -46,4 +64,4 @@ def arrow_map(df: DataFrame, schema: dict[str, str], make: Callable[[], Callable
                 out = apply(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
-    return df.mapInArrow(run, ", ".join(f"`{n}` {'bigint' if t == 'long' else t.replace('long', 'bigint')}" for n, t in schema.items()))
+    return map_batches(df, run, ", ".join(f"`{n}` {'bigint' if t == 'long' else t.replace('long', 'bigint')}" for n, t in schema.items()))

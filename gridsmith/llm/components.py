@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsmith.llm.arrowmap import map_batches
 from gridsmith.llm.scratch import Scratch
 
 
@@ -45,7 +46,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a and b); the root is the least node of its component."""
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.count() <= SMALL_LINKS:
-        return edges.coalesce(1).mapInArrow(_united, "node string, root string")
+        return map_batches(edges.coalesce(1), _united, "node string, root string")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm.arrowmap import arrow_map, slices, table
+from gridsmith.llm.arrowmap import arrow_map, map_batches, slices, table
 from gridsmith.llm.omh import K, Shingler, Sketcher, likeness
 
 M, ELL = 64, 2
@@ -97,7 +97,7 @@ def _firsts(rows: DataFrame, falling: np.ndarray) -> dict[int, tuple[int, bytes]
                         best[p] = min(best.get(p, (_LAST, b"\xff" * 17)), (first, hashlib.md5((t or "").encode()).digest()))
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.binary())], names=["part", "first", "digest"])
 
-    found = rows.mapInArrow(run, "part int, first bigint, digest binary").groupBy("part").agg(F.min(F.struct("first", "digest")).alias("m"))
+    found = map_batches(rows, run, "part int, first bigint, digest binary").groupBy("part").agg(F.min(F.struct("first", "digest")).alias("m"))
     return {r["part"]: (r["m"]["first"], bytes(r["m"]["digest"])) for r in found.collect()}
 
 
@@ -125,7 +125,7 @@ def _packed(rows: DataFrame, falling: np.ndarray, firsts: dict[int, tuple[int, b
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "ahead", "doc_id", "digest", "packed"])
 
-    return rows.mapInArrow(run, _PACKED)
+    return map_batches(rows, run, _PACKED)
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int = M, ell: int = ELL, k: int = K, ranges: int | None = None) -> DataFrame:
@@ -173,7 +173,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m:
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     spread = packed.repartitionById(max(1, falling.size + 1), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "digest")
-    return spread.mapInArrow(run, schema)
+    return map_batches(spread, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

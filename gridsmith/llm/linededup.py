@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm.arrowmap import slices, table
+from gridsmith.llm.arrowmap import map_batches, slices, table
 from gridsmith.llm.scratch import Scratch
 
 LEAST_DOCS = 3
@@ -85,7 +85,7 @@ def _pairs(docs: DataFrame) -> DataFrame:
                     ids.extend([LAST if k is None else k] * len(own))
                 yield pa.RecordBatch.from_arrays([pa.array(every, pa.int64()), pa.array(ids, pa.int64())], names=["template", "doc_id"])
 
-    return docs.mapInArrow(run, "template bigint, doc_id bigint")
+    return map_batches(docs, run, "template bigint, doc_id bigint")
 
 
 def recurring(pairs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -125,7 +125,7 @@ def drop_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = Fal
                 yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, *["n_lines", "n_dropped"][: len(extra)]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(run, schema + (", n_lines bigint, n_dropped bigint" if counts else ""))
+    return map_batches(rows, run, schema + (", n_lines bigint, n_dropped bigint" if counts else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm.arrowmap import slices, table
+from gridsmith.llm.arrowmap import map_batches, slices, table
 from gridsmith.llm.components import components
 from gridsmith.llm.omh import K, Shingler, Sketcher
 from gridsmith.llm.scratch import Scratch
@@ -109,7 +109,7 @@ def _sketched(docs: DataFrame, m: int, ell: int, k: int) -> DataFrame:
                     sketches.append(known[d])
                 yield pa.RecordBatch.from_arrays([pa.array(digests), part.column(0), pa.array(sketches, pa.list_(pa.int64()))], names=["digest", "doc_id", "sketch"])
 
-    return docs.mapInArrow(run, "digest string, doc_id bigint, sketch array<bigint>")
+    return map_batches(docs, run, "digest string, doc_id bigint, sketch array<bigint>")
 
 
 def _shingled(rows: DataFrame, k: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _shingled(rows: DataFrame, k: int) -> DataFrame:
                 seqs = [(shingle(t or "") >> np.uint64(32)).astype("<u4").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seqs, pa.binary())], names=["node", "seq"])
 
-    return rows.mapInArrow(run, "node string, seq binary")
+    return map_batches(rows, run, "node string, seq binary")
 
 
 def _aligned(pairs: DataFrame, like: float) -> DataFrame:
@@ -146,7 +146,7 @@ def _aligned(pairs: DataFrame, like: float) -> DataFrame:
                     out.append(alignment(sequence(x), last[1], like))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["a", "b", "alike"])
 
-    return pairs.mapInArrow(run, "a string, b string, alike double")
+    return map_batches(pairs, run, "a string, b string, alike double")
 
 
 def _with_sequences(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _tokens(nodes: DataFrame, seqs: DataFrame, scratch: Scratch) -> DataFrame:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(owners), pa.array(sizes, pa.int64())], names=["token", "node", "n"])
 
-    tokens = scratch.keep(nodes.join(seqs, "node").select("node", "seq").mapInArrow(run, "token bigint, node string, n bigint"))
+    tokens = scratch.keep(map_batches(nodes.join(seqs, "node").select("node", "seq"), run, "token bigint, node string, n bigint"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     return scratch.keep(tokens.join(counts, "token"))
 

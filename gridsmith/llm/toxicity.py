@@ -30,10 +30,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm.arrowmap import arrow_map, table
+from gridsmith.llm.arrowmap import arrow_map, map_batches, slices, table
 
 MAX_TOXIC, MAX_CLEAN = 600, 1800
 LINK, LEAST_RATIO = 8.0, 20.0
@@ -43,7 +44,7 @@ BLOCK = 64
 SPAN_LEVEL = 0.5
 COUNTED = 0.2
 HOLD_FOLD, FOLDS = 0, 5
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 WORD = re.compile(r"\w+")
 BEGINNINGS, ENDINGS = (3, 4, 5, 6, 7), (4, 5)
 
@@ -335,17 +336,13 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text is not judged toxic, with all their columns."""
 
     def run(batches):
-        import pyarrow as pa
-
-        from gridsmith.llm.arrowmap import slices
-
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for part in slices(batch):
                 scores, _ = model.score([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
