@@ -7,8 +7,8 @@ bucket); links give components; then, exactly, the pairs that are still open are
 aligned: nodes of one bucket in different components.  In a bucket of up to
 SMALL_BUCKET nodes these are all pairs but those that the triangle inequality with
 their leader rules out.  The nodes of larger buckets (texts that share a common
-passage fall together in thousands) are aligned with a second, central leader, and
-then meet only on one of their rarest shingles, and
+passage fall together in thousands) are aligned with a central node and with
+one node for each rare shingle, and then meet only on one of their rarest shingles, and
 only where the places of that shingle leave room for enough others: any two sets
 alike by LIKE share one among the first (1 - LIKE) of each in order of rarity.  So
 a group of thousands costs a few alignments a member instead of all pairs, and no
@@ -175,23 +175,49 @@ def _tokens(nodes: DataFrame, seqs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(tokens.join(counts, "token"))
 
 
-def _rarely_met(tokens: DataFrame, roots: DataFrame, like: float, scratch: Scratch) -> DataFrame:
-    """(a, b) of different components that share a shingle among their rarest and may
-    be alike by ``like``: prefix, length and position filters, all exact.
+def _room(like: float):
+    """Whether a shingle at places pa of na and pb of nb leaves room for two nodes to be alike by ``like``: length and position filters."""
+    overlap = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (like / (1 + like)) - 1e-6
+    return overlap & (F.least("na", "nb") >= F.greatest("na", "nb") * like - 1e-6)
+
+
+def _rare(tokens: DataFrame, like: float) -> DataFrame:
+    """token, node, n and place of each node's rarest shingles that others have too.
 
     Shingles are ordered by how many of these nodes have them; n - ceil(like * n) + 1
-    of a node's n are its prefix.  What comes after the places of a shared one bounds
-    the overlap, which must reach like / (1 + like) of both sizes together.
+    of a node's n are its prefix.
     """
     place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
     rare = tokens.withColumn("place", place)
-    rare = rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * like - 1e-9) + 1) & (F.col("c") > 1)).drop("c")
-    rare = scratch.keep(rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * like - 1e-9) + 1) & (F.col("c") > 1)).drop("c")
+
+
+def _rooted(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    return rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _with_token_leader(rare: DataFrame, like: float) -> DataFrame:
+    """(a, b): each node with one other of a different component for each of its rare shingles."""
+    leaders = rare.groupBy("token").agg(F.min_by(F.struct("node", "root", "n", "place"), F.xxhash64("node", "token")).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    leaders = leaders.where("lo <> hi").select("token", F.col("l.node").alias("b"), F.col("l.root").alias("rb"), F.col("l.n").alias("nb"), F.col("l.place").alias("pb"))
+    rare = rare.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    return rare.join(leaders, "token").where((F.col("ra") != F.col("rb")) & _room(like)).select("a", "b").distinct()
+
+
+def _rarely_met(rare: DataFrame, like: float) -> DataFrame:
+    """(a, b) of different components that share one of their rarest shingles and may be alike by ``like``; no alike pair is left out."""
     a = rare.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
     b = rare.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (like / (1 + like)) - 1e-6
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * like - 1e-6) & room)
-    return met.select("a", "b").distinct()
+    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _room(like)).select("a", "b").distinct()
+
+
+def _linked(pairs: DataFrame, seqs: DataFrame, links: DataFrame, roots: DataFrame, like: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``links`` and ``roots`` with the pairs that are alike added."""
+    more = scratch.keep(_aligned(_with_sequences(pairs, seqs), like).where(F.col("alike") >= like).select("a", "b"))
+    if more.take(1):
+        # components of components
+        roots = scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch))
+    return links.unionByName(more), roots
 
 
 def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL, k: int = K, scratch: Scratch | None = None) -> DataFrame:
@@ -234,11 +260,11 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
         best = F.struct("common", "node")
         centers = large.join(central, "node").groupBy("band", "value").agg(F.max_by("node", best).alias("b"), F.max_by("root", best).alias("root_b"))
         toward = scratch.keep(large.join(centers, ["band", "value"]).where("root <> root_b").select(F.col("node").alias("a"), "b").distinct())
-        more = scratch.keep(_aligned(_with_sequences(toward, seqs), like).where(F.col("alike") >= like).select("a", "b"))
-        links = links.unionByName(more)
-        if more.take(1):
-            # components of components
-            roots = scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch))
+        links, roots = _linked(toward, seqs, links, roots, like, scratch)
+        # and a leader for each rare shingle, so that few of the pairs left below are alike
+        rare = scratch.keep(_rare(tokens, like))
+        toward = scratch.keep(_with_token_leader(_rooted(rare, roots), like))
+        links, roots = _linked(toward, seqs, links, roots, like, scratch)
     small = open_.where(F.col("size") <= SMALL_BUCKET).drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     y = small.where(F.col("alike") < like).select("band", "value", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("alike").alias("alike_a"))
     x = small.select("band", "value", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("alike").alias("alike_b"))
@@ -246,12 +272,9 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
     possible = (F.col("root_a") != F.col("root_b")) & F.when(F.col("alike_b") >= like, F.col("alike_b") - F.col("alike_a") <= 1 - like + 1e-9).otherwise(F.col("a") < F.col("b"))
     second = y.join(x, ["band", "value"]).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if tokens is not None:
-        second = second.unionByName(_rarely_met(tokens, roots, like, scratch))
+        second = second.unionByName(_rarely_met(scratch.keep(_rooted(rare, roots)), like))
     second = scratch.keep(second.distinct())
-    late = scratch.keep(_aligned(_with_sequences(second, seqs), like).where(F.col("alike") >= like).select("a", "b"))
-    links = links.unionByName(late)
-    if late.take(1):
-        roots = scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late), scratch))
+    links, roots = _linked(second, seqs, links, roots, like, scratch)
     scratch.drop(inside, first, wanted, open_, second, seqs)
 
     count = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
