@@ -15,6 +15,11 @@ the document with the least doc_id and are dropped from the others.  Lines of fe
 than LEAST_TOKENS tokens, and templates with fewer than LEAST_FIXED fixed tokens,
 are left alone, and so are repeats within one document.
 
+``long_docs`` sets a number of documents of its own for templates of over
+LONG_TOKENS tokens, which do not meet by chance: with 2, a passage that stands in
+two documents goes from the second.  It is off by default, as the SQL below asks
+for LEAST_DOCS documents whatever the length.
+
 Null texts stay null; empty texts stay empty; a text all of whose lines go becomes
 empty.  Null doc_ids count as one document that comes last.  Rows that repeat a
 doc_id count as further documents, but all keep what their doc_id is first with.
@@ -36,6 +41,7 @@ from gridsmith.llm.arrowmap import map_batches, slices, table
 from gridsmith.llm.scratch import Scratch
 
 LEAST_DOCS = 3
+LONG_TOKENS = 50
 LEAST_TOKENS, LEAST_FIXED = 3, 3
 LEAD, FIELDS, LEAST_GENERAL = 2, 4, 10
 BLANK = " \t\r\f\v"
@@ -68,8 +74,10 @@ def templates(line: str) -> list[str]:
 
 
 def keys(line: str) -> list[int]:
-    """64-bit hashes of the line's templates, as signed longs."""
-    return [(h ^ (1 << 63)) - (1 << 63) for h in map(xxhash.xxh3_64_intdigest, templates(line))]
+    """63-bit hashes of the line's templates and, as the lowest bit, whether these are long; as signed longs."""
+    found = templates(line)
+    long = bool(found) and int(found[0].partition(" ")[0]) > LONG_TOKENS
+    return [((h & ~1 | long) ^ (1 << 63)) - (1 << 63) for h in map(xxhash.xxh3_64_intdigest, found)]
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
@@ -88,20 +96,21 @@ def _pairs(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "template bigint, doc_id bigint")
 
 
-def recurring(pairs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """template, n_docs and first_doc of the templates in at least ``least_docs`` documents."""
-    return pairs.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= least_docs)
+def recurring(pairs: DataFrame, least_docs: int = LEAST_DOCS, long_docs: int | None = None) -> DataFrame:
+    """template, n_docs and first_doc of the templates in at least ``least_docs`` documents, or ``long_docs`` if they are long."""
+    least = F.lit(least_docs) if long_docs is None else F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, long_docs).otherwise(least_docs)
+    return pairs.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= least)
 
 
-def drop_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = False, long_docs: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the recurring lines taken out of ``text``.
 
-    ``counts`` adds n_lines and n_dropped.
+    ``counts`` adds n_lines and n_dropped; ``long_docs`` is what suffices for long templates in place of ``least_docs``.
     """
     scratch = Scratch(docs.sparkSession)
     key = F.col("doc_id").cast("long")
     pairs = scratch.keep(_pairs(docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))))
-    gone = pairs.join(recurring(pairs, least_docs), "template").where("doc_id <> first_doc")
+    gone = pairs.join(recurring(pairs, least_docs, long_docs), "template").where("doc_id <> first_doc")
     gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("template").alias("_gone"))
     rows = docs.join(gone, F.coalesce(key, F.lit(LAST)) == F.col("_id"), "left").drop("_id")
     names = docs.columns

@@ -161,6 +161,16 @@ def test_passages_go_from_all_but_the_first(spark):
     assert all(len(t.split()) == 40 for i, t in out.items() if i)
 
 
+def test_long_passages_of_two_documents_go_if_asked(spark):
+    rng = random.Random(11)
+    passage, short = prose(rng, 51), prose(rng, 50)
+    rows = [(i, f"{prose(rng, 20)}\n{passage}\n{short}", "s") for i in range(2)]
+    out = {r["doc_id"]: r["text"] for r in linededup.drop_lines(frame(spark, rows), long_docs=2).collect()}
+    assert passage in out[0] and passage not in out[1]
+    assert short in out[0] and short in out[1]
+    assert all(passage in r["text"] for r in linededup.drop_lines(frame(spark, rows)).collect())
+
+
 def test_templates():
     assert linededup.templates("a b") == [] and linededup.templates("1 2 3 4") == []
     assert linededup.templates("took 15ms to\tload") == linededup.templates("  took 9ms to load ")
