@@ -169,7 +169,8 @@ def main(argv: list[str] | None = None) -> int:
             log.info("Wrote %s", a.output)
         else:
             df: DataFrame = out.df if isinstance(out, Table) else out
-            print(display.text(df, a.format))
+            for line in display.lines(df, a.format):
+                print(line)
             if a.command == "stats" and not a.format:
                 print(f"count | {files.read(spark, a.input).rows.count()}")
         return 0

@@ -1,15 +1,14 @@
-"""Text for consoles: cards, JSON arrays and correlation matrices of a bounded number of rows."""
+"""Text for consoles: cards, JSON arrays and correlation matrices, written row by row."""
 
 from __future__ import annotations
 
 import shutil
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
 from gridsmith.errors import InvalidArgument
-from gridsmith.sources.files import json_array
-
-SHOWN_ROWS = 10_000
+from gridsmith.sources.files import json_lines
 
 
 def number(v: float) -> str:
@@ -26,19 +25,22 @@ def width() -> int:
     return max(60, min(200, shutil.get_terminal_size((120, 24)).columns))
 
 
-def cards(rows: list[dict], total: int | None = None) -> str:
-    """One bordered card a row, and the number of rows."""
-    w, out = width(), []
+def card_lines(rows: Iterable[dict]) -> Iterator[str]:
+    """The lines of one bordered card a row, and the number of rows."""
+    w, i = width(), 0
     for i, row in enumerate(rows, 1):
-        out.append("┌" + f" Record {i} ".center(w - 2, "─") + "┐")
+        yield "┌" + f" Record {i} ".center(w - 2, "─") + "┐"
         pad = max(map(len, row), default=0)
         for k, v in row.items():
             text = f" {k.ljust(pad)} : {value(v)}"
             for at in range(0, max(1, len(text)), w - 3):
-                out.append("│" + text[at : at + w - 3].ljust(w - 2) + "│")
-        out.append("└" + "─" * (w - 2) + "┘")
-    out.append(f"Total records: {len(rows) if total is None else total}")
-    return "\n".join(out)
+                yield "│" + text[at : at + w - 3].ljust(w - 2) + "│"
+        yield "└" + "─" * (w - 2) + "┘"
+    yield f"Total records: {i}"
+
+
+def cards(rows: Iterable[dict]) -> str:
+    return "\n".join(card_lines(rows))
 
 
 def matrix(rows: list[dict]) -> str:
@@ -48,13 +50,14 @@ def matrix(rows: list[dict]) -> str:
     return "\n".join("  ".join(c.rjust(p) for c, p in zip(x, pad, strict=True)) for x in lines)
 
 
-def text(df: DataFrame, fmt: str | None = None, limit: int = SHOWN_ROWS) -> str:
-    """``df`` for the console; at most ``limit`` rows reach the driver."""
+def lines(df: DataFrame, fmt: str | None = None) -> Iterator[str]:
+    """``df`` for the console, all its rows; the driver holds one partition at a time."""
     if fmt in ("csv", "parquet", "xlsx"):
         raise InvalidArgument(f"Format {fmt} needs an output file")
-    rows = [r.asDict() for r in df.limit(limit).collect()]
+    rows = (r.asDict() for r in df.toLocalIterator(prefetchPartitions=False))
     if fmt == "json":
-        return json_array(rows)
-    if rows and "variable" in rows[0] and all(k == "variable" or k.startswith("corr_with_") for k in rows[0]):
-        return matrix(rows)
-    return cards(rows)
+        yield from json_lines(rows)
+    elif "variable" in df.columns and all(k == "variable" or k.startswith("corr_with_") for k in df.columns) and (all_rows := list(rows)):
+        yield matrix(all_rows)
+    else:
+        yield from card_lines(rows)

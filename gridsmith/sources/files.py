@@ -6,6 +6,7 @@ import json
 import math
 import os
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -138,12 +139,20 @@ def optimize(spark: SparkSession, source: str, target: str | None = None, compre
     return target
 
 
-def json_array(rows: list[dict]) -> str:
-    """Rows as a JSON array; non-finite numbers are null."""
+def json_lines(rows: Iterable[dict]) -> Iterator[str]:
+    """The lines of a JSON array of rows, one row at a time; non-finite numbers are null."""
 
     def clean(v):
         if isinstance(v, float) and not math.isfinite(v):
             return None
         return v if isinstance(v, (int, float, str, bool, type(None), list, dict)) else str(v)
 
-    return json.dumps([{k: clean(v) for k, v in r.items()} for r in rows], ensure_ascii=False, indent=2)
+    last = None
+    for r in rows:
+        yield "[" if last is None else last + ","
+        last = "  " + json.dumps({k: clean(v) for k, v in r.items()}, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+    yield from ["[]"] if last is None else [last, "]"]
+
+
+def json_array(rows: Iterable[dict]) -> str:
+    return "\n".join(json_lines(rows))

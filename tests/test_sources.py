@@ -96,6 +96,16 @@ def test_command_line(spark, tables, tmp_path, capsys):
         assert run(name, path)[0] == 0
 
 
+def test_console_has_all_rows(spark, tmp_path, capsys):
+    path = str(tmp_path / "many")
+    spark.range(0, 10_500, 1, 3).write.parquet(f"{path}.parquet")
+    assert cli.main(["filter", f"{path}.parquet", "-c", "id>=0", "-f", "json"]) == 0
+    assert sorted(r["id"] for r in json.loads(capsys.readouterr().out)) == list(range(10_500))
+    assert cli.main(["filter", f"{path}.parquet", "-c", "id>=0"]) == 0
+    out = capsys.readouterr().out
+    assert " Record 10500 " in out and out.endswith("Total records: 10500\n")
+
+
 def test_streams(spark, tmp_path):
     path = str(tmp_path / "ev" / "events.parquet")
     spark.sql("SELECT id, timestamp_ntz '2020-01-01 00:00:00' + make_interval(0,0,0,0,id) AS ts, cast(id % 2 AS string) AS kind FROM range(48)").write.parquet(path)
