@@ -21,11 +21,13 @@ two documents goes from the second.  It is off by default, as the SQL below asks
 for LEAST_DOCS documents whatever the length.
 
 Null texts stay null; empty texts stay empty; a text all of whose lines go becomes
-empty.  Null doc_ids count as one document that comes last.  Rows that repeat a
-doc_id count as further documents, but all keep what their doc_id is first with.
+empty.  Rows are told apart by doc_id and a digest of the text: rows that share a
+doc_id are documents of their own, in the order of their digests, and rows without
+one come last.  Rows equal in both count one by one, and all keep what they are first with.
 
-Two passes read the texts.  Between them go (template, doc_id) pairs, 16 bytes
-each; texts are shuffled once, by doc_id, to meet their dropped templates.
+Two passes read the texts.  Between them go (template, doc_id, digest) rows, 24
+bytes each; texts are shuffled once, by doc_id and digest, to meet their dropped
+templates.
 """
 
 from __future__ import annotations
@@ -81,19 +83,20 @@ def keys(line: str) -> list[int]:
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
-    """(template, doc_id), once a document, of rows of (doc_id, text)."""
+    """(template, doc_id, digest), once a row, of rows of (doc_id, digest, text)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                every, ids = [], []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                every, ids, digests = [], [], []
+                for k, d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     own = {h for line in (t or "").split("\n") for h in keys(line)}
                     every.extend(own)
-                    ids.extend([LAST if k is None else k] * len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(every, pa.int64()), pa.array(ids, pa.int64())], names=["template", "doc_id"])
+                    ids.extend([k] * len(own))
+                    digests.extend([d] * len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(every, pa.int64()), pa.array(ids, pa.int64()), pa.array(digests, pa.int64())], names=["template", "doc_id", "digest"])
 
-    return map_batches(docs, run, "template bigint, doc_id bigint")
+    return map_batches(docs, run, "template bigint, doc_id bigint, digest bigint")
 
 
 def recurring(pairs: DataFrame, least_docs: int = LEAST_DOCS, long_docs: int | None = None) -> DataFrame:
@@ -108,11 +111,18 @@ def drop_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, counts: bool = Fal
     ``counts`` adds n_lines and n_dropped; ``long_docs`` is what suffices for long templates in place of ``least_docs``.
     """
     scratch = Scratch(docs.sparkSession)
-    key = F.col("doc_id").cast("long")
-    pairs = scratch.keep(_pairs(docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))))
-    gone = pairs.join(recurring(pairs, least_docs, long_docs), "template").where("doc_id <> first_doc")
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("template").alias("_gone"))
-    rows = docs.join(gone, F.coalesce(key, F.lit(LAST)) == F.col("_id"), "left").drop("_id")
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.col("text").cast("string")
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
+    pairs = scratch.keep(_pairs(docs.select(key.alias("doc_id"), digest.alias("digest"), text.alias("text"))))
+    held = scratch.keep(pairs.join(recurring(pairs, least_docs, long_docs), "template").select("template", "doc_id", "digest", "first_doc"))
+    # the templates whose first doc_id several rows have; none if doc_ids are distinct
+    firsts = held.where("doc_id = first_doc").groupBy("template").agg(F.min("digest").alias("first"), F.max("digest").alias("last"))
+    firsts = scratch.keep(firsts.where("first <> last").select("template", "first"))
+    gone = held.where("doc_id <> first_doc").select("template", "doc_id", "digest")
+    if firsts.take(1):
+        gone = gone.unionByName(held.where("doc_id = first_doc").join(firsts, "template").where("digest <> first").select("template", "doc_id", "digest"))
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("template").alias("_gone"))
+    rows = docs.join(gone, (key == F.col("_id")) & (digest == F.col("_digest")), "left").drop("_id", "_digest")
     names = docs.columns
     at = names.index("text")
 

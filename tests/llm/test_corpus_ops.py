@@ -171,6 +171,18 @@ def test_long_passages_of_two_documents_go_if_asked(spark):
     assert all(passage in r["text"] for r in linededup.drop_lines(frame(spark, rows)).collect())
 
 
+def test_rows_with_null_or_repeated_ids_are_documents_of_their_own(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 12) for _ in range(3))
+    own = [prose(rng, 20) for _ in range(12)]
+    rows = [(None, f"{own[i]}\n{a}", "s") for i in range(4)]  # only among rows without an id
+    rows += [(7, f"{own[4 + i]}\n{b}", "s") for i in range(4)]  # only among rows that repeat one
+    rows += [(i, f"{own[8 + j]}\n{c}", "s") for j, i in enumerate([None, None, 9, 8])]
+    out = [(r["doc_id"], r["text"]) for r in linededup.drop_lines(frame(spark, rows)).collect()]
+    assert len(out) == len(rows) and all(sum(o in t for _, t in out) == 1 for o in own)
+    assert [i for i, t in out if a in t] == [None] and [i for i, t in out if b in t] == [7] and [i for i, t in out if c in t] == [8]
+
+
 def test_templates():
     assert linededup.templates("a b") == [] and linededup.templates("1 2 3 4") == []
     assert linededup.templates("took 15ms to\tload") == linededup.templates("  took 9ms to load ")
