@@ -1,7 +1,9 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
 Equal texts are one node.  Each node's words become occurrence-labelled five-word
-shingles; M sketch values of ELL ordered minima each are its buckets.  Within a
+shingles; M sketch values of ELL ordered minima each are its buckets.  Few shingles
+are drawn without replacement, which lowers the chance that a sketch agrees, so
+texts of up to SHORT shingles have M further buckets of SHORT_ELL minima.  Within a
 bucket every node is first aligned with one leader (a different one in each
 bucket); links give components; then, exactly, the pairs that are still open are
 aligned: nodes of one bucket in different components.  In a bucket of up to
@@ -45,6 +47,7 @@ from gridsmith.llm.scratch import Scratch
 
 LIKE = 0.8
 M, ELL = 24, 4
+SHORT, SHORT_ELL = 25, 2
 SMALL_IDS = 500_000
 SMALL_BUCKET = 16
 SENT_DIGESTS = 20_000
@@ -93,7 +96,7 @@ def _sketched(docs: DataFrame, m: int, ell: int, k: int) -> DataFrame:
     def run(batches):
         import hashlib
 
-        shingle, sketch = Shingler(k), Sketcher(m, ell)
+        shingle, sketch, further = Shingler(k), Sketcher(m, ell), Sketcher(m, min(ell, SHORT_ELL), seed=2)
         known: dict[bytes, list[int] | None] = {}
         for batch in batches:
             for part in slices(batch):
@@ -104,7 +107,8 @@ def _sketched(docs: DataFrame, m: int, ell: int, k: int) -> DataFrame:
                         if len(known) >= SENT_DIGESTS:
                             known.clear()
                         s = shingle(t or "")
-                        known[d] = sketch(s).view(np.int64).tolist() if s.size else None
+                        own = [sketch(s)] + ([further(s)] if s.size <= SHORT else [])
+                        known[d] = np.concatenate(own).view(np.int64).tolist() if s.size else None
                     digests.append(d.hex())
                     sketches.append(known[d])
                 yield pa.RecordBatch.from_arrays([pa.array(digests), part.column(0), pa.array(sketches, pa.list_(pa.int64()))], names=["digest", "doc_id", "sketch"])

@@ -326,6 +326,14 @@ def test_near_copies_against_all_pairs(spark, copies, monkeypatch, small_bucket)
     assert sum(r["n"] for r in got) == len(copies)
 
 
+def test_short_near_copies_all_meet(spark):
+    rng = random.Random(17)
+    short = [prose(rng, 8) for _ in range(1500)]
+    rows = [(2 * i + j, t + " dada" * j, "s") for i, t in enumerate(short) for j in range(2)]  # 4 and 5 shingles, alike by 0.8
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classify(frame(spark, rows)).collect()}
+    assert [i for i in got if got[i] != i - i % 2] == []
+
+
 def test_classes_and_survivors(spark, copies, monkeypatch):
     docs = frame(spark, copies)
     rows = neardup.classify(docs).collect()
