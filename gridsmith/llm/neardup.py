@@ -199,10 +199,11 @@ def _rarely_met(tokens: DataFrame, roots: DataFrame, like: float, scratch: Scrat
 
 
 def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL, k: int = K, scratch: Scratch | None = None) -> DataFrame:
-    """One row a distinct text: digest, root (the class's least digest), doc_id (its least), n (its rows), class_id, class_rows and links.
+    """One row a distinct text: digest, root (the class's least digest), doc_id (its least), n (its rows), class_id, class_rows and checked_links.
 
-    ``docs`` has doc_id and text.  ``links`` counts the different texts that the
-    text was found to be alike with.
+    ``docs`` has doc_id and text.  ``checked_links`` counts the different texts
+    that the text was aligned with and found alike: a lower bound, since pairs
+    inside one component are not all aligned.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -259,17 +260,17 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
     scratch.drop(inside, first, wanted, open_, second, seqs)
 
     count = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    count = count.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("links"))
+    count = count.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("checked_links"))
     out = nodes.drop("sketch").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = out.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    return out.join(classes, "root").join(count, "digest", "left").select("digest", "root", "doc_id", "n", "class_id", "class_rows", F.coalesce("links", F.lit(0)).alias("links"))
+    return out.join(classes, "root").join(count, "digest", "left").select("digest", "root", "doc_id", "n", "class_id", "class_rows", F.coalesce("checked_links", F.lit(0)).alias("checked_links"))
 
 
 def classify(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, class_id, class_rows (rows of its class), copies (rows with its text) and links (different texts linked to it) of each row."""
-    texts = near_copies(docs, **how).select(F.col("digest").alias("_d"), "class_id", "class_rows", F.col("n").alias("copies"), "links")
+    """doc_id, class_id, class_rows (rows of its class), copies (rows with its text) and checked_links (different texts found alike with it, a lower bound) of each row."""
+    texts = near_copies(docs, **how).select(F.col("digest").alias("_d"), "class_id", "class_rows", F.col("n").alias("copies"), "checked_links")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text").cast("string")).alias("digest"))
-    return rows.join(texts, F.col("digest") == F.col("_d")).select("doc_id", "class_id", "class_rows", "copies", "links")
+    return rows.join(texts, F.col("digest") == F.col("_d")).select("doc_id", "class_id", "class_rows", "copies", "checked_links")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -334,6 +334,14 @@ def test_short_near_copies_all_meet(spark):
     assert [i for i in got if got[i] != i - i % 2] == []
 
 
+def test_checked_links_are_a_lower_bound(spark):
+    base = words(random.Random(19), 60)
+    rows = [(i, f"{base} end{i}", "s") for i in range(12)]
+    got = neardup.classify(frame(spark, rows))
+    assert got.columns == ["doc_id", "class_id", "class_rows", "copies", "checked_links"]
+    assert all(r["class_id"] == 0 and 1 <= r["checked_links"] <= 11 for r in got.collect())
+
+
 def test_classes_and_survivors(spark, copies, monkeypatch):
     docs = frame(spark, copies)
     rows = neardup.classify(docs).collect()
