@@ -9,12 +9,11 @@ bucket); links give components; then, exactly, the pairs that are still open are
 aligned: nodes of one bucket in different components.  In a bucket of up to
 SMALL_BUCKET nodes these are all pairs but those that the triangle inequality with
 their leader rules out.  The nodes of larger buckets (texts that share a common
-passage fall together in thousands) are aligned with a second, central leader, and
-then meet only on one of their rarest shingles, and
-only where the places of that shingle leave room for enough others: any two sets
-alike by LIKE share one among the first (1 - LIKE) of each in order of rarity.  So
-a group of thousands costs a few alignments a member instead of all pairs, and no
-candidate pair between different texts is lost.
+passage fall together in thousands) are aligned with a second, central leader; then
+those that are not of the largest component meet the others by exact filters on
+their rarest shingles (``_rarely_met``).  So a group of thousands costs a few
+alignments a member, and one for each member and stray that may still be alike,
+instead of all pairs, and no candidate pair between different texts is lost.
 
 Likeness of two texts: L / (n + m - L), with L the longest common subsequence of
 their labelled shingles (n and m of them) inside the band of diagonals that any
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 from gridsmith.llm.arrowmap import map_batches, slices, table
 from gridsmith.llm.components import components
 from gridsmith.llm.omh import K, Shingler, Sketcher
-from gridsmith.llm.scratch import Scratch
+from gridsmith.llm.scratch import Scratch, fresh
 
 LIKE = 0.8
 M, ELL = 24, 4
@@ -180,30 +179,45 @@ def _tokens(nodes: DataFrame, seqs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _rarely_met(tokens: DataFrame, roots: DataFrame, like: float, scratch: Scratch) -> DataFrame:
-    """(a, b) of different components that share a shingle among their rarest and may
-    be alike by ``like``: prefix, length and position filters, all exact.
+    """(a, b) of different components that may be alike by ``like``, each pair once, by
+    prefix, length and position filters, all exact.
 
     Shingles are ordered by how many of these nodes have them; n - ceil(like * n) + 1
-    of a node's n are its prefix.  What comes after the places of a shared one bounds
-    the overlap, which must reach like / (1 + like) of both sizes together.
+    of a node's n are its prefix, and two texts alike by ``like`` share one there.
+    What comes after the places of a shared one bounds the overlap, which must reach
+    like / (1 + like) of both sizes together.
+
+    A group of near copies shares hundreds of its shingles, nearly all of its nodes in
+    one component by now.  So nodes do not meet nodes on shingles: a shingle keeps one
+    row a component (how many have it, the bounds of their sizes and rooms), and only
+    the nodes outside its largest component, the strays, meet these.  The components a
+    stray has met are made distinct before they are opened to their members.
     """
     place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
     rare = tokens.withColumn("place", place)
-    rare = rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * like - 1e-9) + 1) & (F.col("c") > 1)).drop("c")
+    rare = rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * like - 1e-9) + 1) & (F.col("c") > 1))
+    rare = rare.select("token", "node", "n", (F.col("n") - F.col("place")).alias("room"))
     rare = scratch.keep(rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    a = rare.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    b = rare.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (like / (1 + like)) - 1e-6
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * like - 1e-6) & room)
-    return met.select("a", "b").distinct()
+    by_root = rare.groupBy("token", "root").agg(F.count(F.lit(1)).alias("have"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("room").alias("room_b"))
+    by_root = scratch.keep(by_root.withColumnRenamed("root", "rb"))
+    tops = scratch.keep(by_root.groupBy("token").agg(F.max(F.struct("have", "rb")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.rb").alias("top")))
+    strays = rare.join(tops, "token").where("root <> top").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("room").alias("room_a"), "top")
+    strays = scratch.keep(strays)
+    # the sizes of both must fit, and 1 + what follows the shingle in both must leave room for like / (1 + like) of them
+    sizes = (F.col("n_hi") >= F.col("na") * like - 1e-6) & (F.col("n_lo") * like <= F.col("na") + 1e-6)
+    room = 1 + F.least("room_a", "room_b") >= (F.col("na") + F.greatest("n_lo", F.ceil(F.col("na") * like - 1e-6))) * (like / (1 + like)) - 1e-6
+    once = (F.col("rb") == F.col("top")) | (F.col("ra") < F.col("rb"))
+    met = strays.join(by_root, "token").where((F.col("ra") != F.col("rb")) & once & sizes & room).select("a", "na", "rb").distinct()
+    members = rare.select(F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
+    fit = F.least("na", "nb") >= F.greatest("na", "nb") * like - 1e-6
+    return scratch.keep(met).join(scratch.keep(members), "rb").where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL, k: int = K, scratch: Scratch | None = None) -> DataFrame:
-    """One row a distinct text: digest, root (the class's least digest), doc_id (its least), n (its rows), class_id, class_rows and checked_links.
+    """One row a distinct text: digest, root (the class's least digest), doc_id (its least), n (its rows), class_id and class_rows.
 
-    ``docs`` has doc_id and text.  ``checked_links`` counts the different texts
-    that the text was aligned with and found alike: a lower bound, since pairs
-    inside one component are not all aligned.
+    ``docs`` has doc_id and text.  Joins on a bucket, digest or component read written
+    tables on both sides, so that adaptive execution can split a hot one.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -212,7 +226,7 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
     members = nodes.where("sketch IS NOT NULL").select(F.col("digest").alias("node"), F.posexplode("sketch").alias("band", "value"))
     # each bucket's leader, by an order of its own
     shared = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", "band", "value")).alias("leader")).where("size > 1").drop("size")
-    inside = scratch.keep(members.join(shared, ["band", "value"]).select("band", "value", "node", "leader"))
+    inside = scratch.keep(members.join(scratch.keep(shared), ["band", "value"]).select("band", "value", "node", "leader"))
     first = scratch.keep(inside.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
 
     wanted = first.select("a").unionByName(first.select(F.col("b").alias("a"))).distinct()
@@ -228,7 +242,7 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
     known = inside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = known.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "value", "size")
     toward = scores.select(F.col("a").alias("node"), F.col("b").alias("leader"), "alike")
-    open_ = known.join(mixed, ["band", "value"]).join(toward, ["node", "leader"], "left").select("band", "value", "size", "node", "root", F.coalesce("alike", F.lit(1.0)).alias("alike"))
+    open_ = known.join(scratch.keep(mixed), ["band", "value"]).join(toward, ["node", "leader"], "left").select("band", "value", "size", "node", "root", F.coalesce("alike", F.lit(1.0)).alias("alike"))
     open_ = scratch.keep(open_)
     large = open_.where(F.col("size") > SMALL_BUCKET).select("band", "value", "node", "root")
     tokens = None
@@ -237,13 +251,10 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
         # a second leader in each large bucket: the node with the most common shingles, which is alike with most of a group
         central = tokens.groupBy("node").agg(F.avg("c").alias("common"))
         best = F.struct("common", "node")
-        centers = large.join(central, "node").groupBy("band", "value").agg(F.max_by("node", best).alias("b"), F.max_by("root", best).alias("root_b"))
+        centers = scratch.keep(large.join(central, "node").groupBy("band", "value").agg(F.max_by("node", best).alias("b"), F.max_by("root", best).alias("root_b")))
         toward = scratch.keep(large.join(centers, ["band", "value"]).where("root <> root_b").select(F.col("node").alias("a"), "b").distinct())
         more = scratch.keep(_aligned(_with_sequences(toward, seqs), like).where(F.col("alike") >= like).select("a", "b"))
-        links = links.unionByName(more)
-        if more.take(1):
-            # components of components
-            roots = scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch))
+        roots = _merged(roots, more, scratch)
     small = open_.where(F.col("size") <= SMALL_BUCKET).drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     y = small.where(F.col("alike") < like).select("band", "value", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("alike").alias("alike_a"))
     x = small.select("band", "value", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("alike").alias("alike_b"))
@@ -254,39 +265,44 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
         second = second.unionByName(_rarely_met(tokens, roots, like, scratch))
     second = scratch.keep(second.distinct())
     late = scratch.keep(_aligned(_with_sequences(second, seqs), like).where(F.col("alike") >= like).select("a", "b"))
-    links = links.unionByName(late)
-    if late.take(1):
-        roots = scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late), scratch))
-    scratch.drop(inside, first, wanted, open_, second, seqs)
+    roots = _merged(roots, late, scratch)
 
-    count = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    count = count.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("checked_links"))
     out = nodes.drop("sketch").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = out.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    return out.join(classes, "root").join(count, "digest", "left").select("digest", "root", "doc_id", "n", "class_id", "class_rows", F.coalesce("checked_links", F.lit(0)).alias("checked_links"))
+    return scratch.last(out.join(scratch.keep(classes), "root").select("digest", "root", "doc_id", "n", "class_id", "class_rows"))
+
+
+def _merged(roots: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """``roots`` with further links: components of components."""
+    if not more.take(1):
+        return roots
+    return scratch.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch))
 
 
 def classify(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, class_id, class_rows (rows of its class), copies (rows with its text) and checked_links (different texts found alike with it, a lower bound) of each row."""
-    texts = near_copies(docs, **how).select(F.col("digest").alias("_d"), "class_id", "class_rows", F.col("n").alias("copies"), "checked_links")
+    """doc_id, class_id, class_rows (rows of its class) and copies (rows with its text) of each row."""
+    texts = near_copies(docs, **how).select(F.col("digest").alias("_d"), "class_id", "class_rows", F.col("n").alias("copies"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text").cast("string")).alias("digest"))
-    return rows.join(texts, F.col("digest") == F.col("_d")).select("doc_id", "class_id", "class_rows", "copies", "checked_links")
+    return rows.join(texts, F.col("digest") == F.col("_d")).select("doc_id", "class_id", "class_rows", "copies")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` (all columns) with one row of each class: the one with the least doc_id."""
+    """``docs`` (all columns, of any names) with one row of each class: the one with the least doc_id."""
     scratch = Scratch(docs.sparkSession)
-    texts = scratch.keep(near_copies(docs, scratch=scratch, **how))
+    digest, text_digest, least, stays = fresh(docs.columns, "digest", "text_digest", "least", "stays")
+    texts = near_copies(docs, scratch=scratch, **how)
     # what goes: the texts that do not hold their class's least doc_id, and further rows of those that do
     held = texts.where("class_rows > 1").withColumn("rank", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest")))
     best = held.groupBy("root").agg(F.min("rank").alias("best"))
-    held = held.join(best, "root").select("digest", "n", F.col("doc_id").alias("_least"), (F.col("rank") == F.col("best")).alias("stays"))
-    lost = scratch.keep(held.select(F.col("digest").alias("_d"), F.col("_least"), "stays"))
+    held = held.join(scratch.keep(best), "root").select(F.col("digest").alias(digest), F.col("doc_id").alias(least), (F.col("rank") == F.col("best")).alias(stays))
+    lost = scratch.keep(held)
     small = F.broadcast(lost) if lost.count() <= SMALL_IDS else lost
-    marked = docs.withColumn("_digest", digest_of(F.col("text").cast("string"))).join(small, F.col("_digest") == F.col("_d"), "left")
-    alone = marked.where("_d IS NULL").select(*[marked[c] for c in docs.columns])
+    marked = docs.withColumn(text_digest, digest_of(F.col("text").cast("string")))
+    marked = marked.join(small, F.col(text_digest) == F.col(digest), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alone = marked.where(F.col(digest).isNull()).select(*own)
     # rows that repeat the least doc_id with the same text are one
-    first = marked.where(F.col("stays") & marked["doc_id"].eqNullSafe(F.col("_least"))).dropDuplicates(["_digest"]).select(*[marked[c] for c in docs.columns])
+    first = marked.where(F.col(stays) & F.col("doc_id").eqNullSafe(F.col(least))).dropDuplicates([text_digest]).select(*own)
     return alone.unionByName(first)
 
 

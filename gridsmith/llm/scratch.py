@@ -13,14 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session.
+
+    A temporary folder only where it is unset and everything runs in one process,
+    as in tests; on a cluster, whose executors would not see it, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridsmith-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fresh(taken: list[str], *names: str) -> tuple[str, ...]:
+    """The names, each lengthened until no column in ``taken`` has it (Spark compares without case)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 class Scratch:
     """Written tables of one query; ``drop`` those that nothing lazy reads any more."""
 
@@ -28,7 +46,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written and read back."""
@@ -36,11 +54,17 @@ class Scratch:
         path = f"{self.folder}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.kept.append((out, path))
         return out
 
-    def drop(self, *kept: DataFrame) -> None:
-        for df in kept:
-            if path := self.paths.pop(id(df), None):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df, path in [x for x in self.kept if any(x[0] is t for t in tables)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self.kept = [x for x in self.kept if x[0] is not df]
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """``df`` kept, and all other tables dropped."""
+        out = self.keep(df)
+        self.drop(*[x for x, _ in self.kept if x is not out])
+        return out

@@ -334,12 +334,39 @@ def test_short_near_copies_all_meet(spark):
     assert [i for i in got if got[i] != i - i % 2] == []
 
 
-def test_checked_links_are_a_lower_bound(spark):
-    base = words(random.Random(19), 60)
-    rows = [(i, f"{base} end{i}", "s") for i in range(12)]
-    got = neardup.classify(frame(spark, rows))
-    assert got.columns == ["doc_id", "class_id", "class_rows", "copies", "checked_links"]
-    assert all(r["class_id"] == 0 and 1 <= r["checked_links"] <= 11 for r in got.collect())
+def test_one_large_group_costs_a_few_rows_a_member(spark):
+    """Near copies of a text, and texts that are just too far from all of them: the rows that meet follow strays and members, not shingles or pairs."""
+    rng = random.Random(19)
+    base = words(rng, 150, 10**6)
+    far = {i for i in range(1, 800) if i % 50 == 0}
+    rows = [(i, edited(rng, base, 6 if i in far else 1 + i % 3) if i else base, "s") for i in range(800)]
+    scratch, made = Scratch(spark), Counter()
+    keep = scratch.keep
+
+    def counted(df):
+        out = keep(df)
+        made[tuple(out.columns)] = max(made[tuple(out.columns)], out.count())
+        return out
+
+    scratch.keep = counted
+    root = {r["doc_id"]: r["root"] for r in neardup.near_copies(frame(spark, rows), scratch=scratch).collect()}
+    assert {i for i in root if root[i] == root[0]} == set(root) - far
+    assert made["a", "na", "rb"] <= len(far) ** 2 and made["a", "b"] <= (24 + len(far)) * len(rows)
+
+
+def test_columns_of_clashing_names_stay(spark):
+    """Columns named like the operators' own helpers keep their values."""
+    rng = random.Random(23)
+    base = [prose(rng, 40) for _ in range(4)]
+    names = "_id _gone n_lines n_dropped _source cut0 _mine stays _d _least digest _digest text_digest least key finish before root rank size".split()
+    rows = [(i, f"{base[i % 4]}\n{base[0]} end {i}", "s", *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    for made in (neardup.keep_one(docs), linededup.drop_lines(docs), mixing.mixture(docs)):
+        assert made.columns == docs.columns
+        out = made.collect()
+        assert out and all(r[n] == f"{n}{r['doc_id']}" for r in out for n in names)
+    with pytest.raises(ValueError, match="n_lines"):
+        linededup.drop_lines(docs, counts=True)
 
 
 def test_classes_and_survivors(spark, copies, monkeypatch):
