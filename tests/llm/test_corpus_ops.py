@@ -62,70 +62,111 @@ def mixed(spark):
     return rows
 
 
-def test_mixing_against_brute_force(spark, mixed):
-    sizes = frame(spark, mixed).select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    out = mixing.taken(mixing.schedule(sizes)).collect()
-    assert len(out) == len(mixed)
-    size = Counter()
-    for _, t, s in mixed:
-        size[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    want, got = brute_targets(dict(size)), defaultdict(int)
+def brute_mix(rows):
+    """(doc_id, source, size, words taken in each pass) of each row: all packets in one list, sorted and cut."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    total = Counter()
+    for n, (_, _, s) in zip(size, rows, strict=True):
+        total[s] += n
+    target = brute_targets(dict(total))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    key = [md5((str(i) if i is not None else "null" + md5(t or "")) + f"-{mixing.SEED}") for i, t, _ in rows]
+    packets = []
+    for s in total:
+        ahead = 0
+        for p in range(mixing.CAP):
+            for r in sorted((r for r in range(len(rows)) if rows[r][2] == s), key=lambda r: (key[r], size[r])):
+                for at in range(0, size[r], mixing.PACKET):
+                    words = min(mixing.PACKET, size[r] - at)
+                    packets.append(((ahead + at + words) / target[s], key[r], size[r], s is None, s or "", p, ahead, r, words))
+                ahead += size[r]
+    left, taken = int(1.5 * sum(size)), [[0] * mixing.CAP for _ in rows]
+    for *_, p, _, r, words in sorted(packets):
+        taken[r][p] += min(words, left)
+        left -= min(words, left)
+    return [(i, s, n, *t) for (i, _, s), n, t in zip(rows, size, taken, strict=True)], target
+
+
+@pytest.mark.parametrize("small", [mixing.SORTED, 3])
+def test_mixing_against_brute_force(spark, mixed, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SORTED", small)
+    want, target = brute_mix(mixed)
+    docs = frame(spark, mixed)
+    out = mixing.served(mixing.sizes_of(docs), Scratch(spark)).collect()
+    text = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert text((r["doc_id"], r["source"], r["size"], r["taken0"], r["taken1"]) for r in out) == text(want)
+    got = Counter()
     for r in out:
-        assert r["source_size"] == size[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
-        assert 0 <= r["taken"] <= 2 * r["size"]
-        got[r["source"]] += r["taken"]
-    for s, n in got.items():
-        assert abs(n - want[s]) <= 1
-    again = mixing.taken(mixing.schedule(sizes.repartition(5))).collect()
-    key = lambda rows: sorted((r["doc_id"] or -1, r["size"], r["taken"], r["finish"] or 0) for r in rows)
-    assert key(out) == key(again)
+        assert abs(r["target"] - target[r["source"]]) < 1e-6 and r["taken0"] + r["taken1"] <= 2 * r["size"]
+        got[r["source"]] += r["taken0"] + r["taken1"]
+    assert all(abs(n - target[s]) <= mixing.PACKET for s, n in got.items())
+    again = mixing.served(mixing.sizes_of(docs.repartition(5)), Scratch(spark)).collect()
+    assert text(again) == text(out)
 
 
 def test_mixture_takes_whole_documents(spark, mixed):
     docs = frame(spark, mixed)
     out = mixing.mixture(docs)
     assert out.columns == docs.columns
-    rows = out.collect()
-    size = Counter()
-    for _, t, s in mixed:
-        size[s] += len((t or "").split())
-    target, got, passes = brute_targets(dict(size)), Counter(), Counter()
-    for r in rows:
-        got[r["source"]] += len((r["text"] or "").split())
-        passes[r["doc_id"], r["text"]] += 1
-    assert max(v for k, v in passes.items() if k[0] != 7) <= 2
-    for s in got:
-        assert abs(got[s] - target[s]) <= 900
-    ordered = mixing.mixture(docs, ordered=True).collect()
-    assert Counter((r["doc_id"], r["text"]) for r in ordered) == passes
+    want = Counter()
+    for (i, t, _), (_, _, n, *taken) in zip(mixed, brute_mix(mixed)[0], strict=True):
+        want[i, t] += sum(n > 0 and 2 * w >= n for w in taken)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == +want
+    assert Counter((r["doc_id"], r["text"]) for r in mixing.mixture(docs, ordered=True).collect()) == +want
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    rows = [(5, "eight words are in each of these rows", "c")] * 100 + [(i, "w " * 50, "ab"[i % 2]) for i in range(40)] + [(None, f"no id {i}", "b") for i in range(30)]
+    out = mixing.mixture(frame(spark, rows)).collect()
+    want, target = brute_mix(rows)
+    got = Counter()
+    for r in out:
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - target[s]) <= 50 for s in "ab") and abs(got["c"] - target["c"]) <= 8
+    assert sum(r["source"] == "c" for r in out) == sum(2 * w >= n for _, s, n, *taken in want if s == "c" for w in taken)
 
 
 def test_mixing_of_empty_tables(spark):
     docs = frame(spark, [(1, "", "a"), (2, None, None)])
-    sizes = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    assert [(r["taken"], r["target"]) for r in mixing.taken(mixing.schedule(sizes)).collect()] == [(0, 0.0)] * 2
-    assert mixing.taken(mixing.schedule(sizes.limit(0))).count() == 0 and mixing.mixture(docs.limit(0)).count() == 0
+    out = mixing.served(mixing.sizes_of(docs), Scratch(spark)).collect()
+    assert [(r["taken0"], r["taken1"], r["target"]) for r in out] == [(0, 0, 0.0)] * 2
+    assert mixing.served(mixing.sizes_of(docs.limit(0)), Scratch(spark)).count() == 0 and mixing.mixture(docs.limit(0)).count() == 0
 
 
 # Line dedup
 
 
-def brute_lines(rows, least=3):
-    docs = defaultdict(set)
-    for i, t, _ in rows:
+def brute_lines(rows):
+    """(doc_id, text, lines, dropped) by the statement of the module, each row a document."""
+    place = [(linededup.LAST if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)) for i, t, _ in rows]
+    enough = lambda n: linededup.LONG_DOCS if n > linededup.LONG_TOKENS else linededup.LEAST_DOCS
+    exact = defaultdict(set)  # template: its rows
+    for r, (_, t, _) in enumerate(rows):
         for line in (t or "").split("\n"):
-            for k in linededup.templates(line):
-                docs[k].add(linededup.LAST if i is None else i)
-    first = {k: min(d) for k, d in docs.items() if len(d) >= least}
+            if tokens := tuple(linededup.masked(line)):
+                exact[tokens].add(r)
+    recurs = {t for t, rs in exact.items() if len(rs) >= enough(len(t))}
+    leaves = defaultdict(list)
+    for t in exact:
+        if len(t) >= linededup.LEAST_GENERAL:
+            leaves[len(t), t[: linededup.LEAD]].append(t)
+    general, members = {}, defaultdict(set)
+    for (n, _), ts in leaves.items():
+        have = Counter((p, x) for t in ts for p, x in enumerate(t) if x != linededup.ANY)
+        for t in ts:
+            kept = tuple((p, x) for p, x in enumerate(t) if have[p, x] >= max(linededup.LEAST_DOCS, len(ts) * linededup.FIXED_SHARE))
+            if len(kept) >= linededup.LEAST_FIXED and len(kept) >= n * linededup.GENERAL_SHARE:
+                general[t] = (n, kept)
+                members[n, kept] |= exact[t]
+    first = {t: min(place[r] for r in exact[t]) for t in recurs}
+    for t, g in general.items():
+        if t not in recurs and len(members[g]) >= enough(len(t)):
+            first[t] = min(place[r] for r in members[g])
     out = []
-    for i, t, _ in rows:
-        own = linededup.LAST if i is None else i
-        if not t:
-            out.append((i, t, 0, 0))
-            continue
-        lines = t.split("\n")
-        kept = [x for x in lines if all(first.get(k, own) == own for k in linededup.templates(x))]
-        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    for r, (i, t, _) in enumerate(rows):
+        lines = t.split("\n") if t else []
+        kept = [x for x in lines if first.get(tuple(linededup.masked(x)), place[r]) == place[r]]
+        out.append((i, "\n".join(kept) if t else t, len(lines), len(lines) - len(kept)))
     return out
 
 
@@ -161,14 +202,39 @@ def test_passages_go_from_all_but_the_first(spark):
     assert all(len(t.split()) == 40 for i, t in out.items() if i)
 
 
-def test_long_passages_of_two_documents_go_if_asked(spark):
+def test_two_documents_suffice_for_long_passages(spark):
     rng = random.Random(11)
     passage, short = prose(rng, 51), prose(rng, 50)
     rows = [(i, f"{prose(rng, 20)}\n{passage}\n{short}", "s") for i in range(2)]
-    out = {r["doc_id"]: r["text"] for r in linededup.drop_lines(frame(spark, rows), long_docs=2).collect()}
+    out = {r["doc_id"]: r["text"] for r in linededup.drop_lines(frame(spark, rows)).collect()}
     assert passage in out[0] and passage not in out[1]
     assert short in out[0] and short in out[1]
-    assert all(passage in r["text"] for r in linededup.drop_lines(frame(spark, rows)).collect())
+    assert all(passage in r["text"] for r in linededup.drop_lines(frame(spark, rows), long_docs=3).collect())
+
+
+@pytest.mark.parametrize("small", [0, linededup.SMALL_LEAVES])
+def test_variable_fields_are_generalised(spark, monkeypatch, small):
+    monkeypatch.setattr(linededup, "SMALL_LEAVES", small)
+    rng = random.Random(21)
+    who, where = [prose(rng, 1) for _ in range(40)], [prose(rng, 1) for _ in range(40)]
+    long = prose(rng, 30).split()
+    varied = lambda: " ".join(x if k not in (4, 11, 12, 26) else prose(rng, 1) for k, x in enumerate(long))
+    rows = [(i, f"{prose(rng, 12)}\nPosted by {who[i]} in {where[i]}\n{varied()}", "s") for i in range(40)]
+    rows += [(100 + i, f"Posted by nobody in particular {i}\nPosted by {prose(rng, 3)}", "s") for i in range(6)]  # the same leaf, and less alike
+    rows += [(200, "Posted by one two three", "s"), (None, "Posted by no in body", "s"), (7, rows[7][1], "s")]
+    out = linededup.drop_lines(frame(spark, rows), counts=True).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in out) == sorted((str(i), t, n, d) for i, t, n, d in brute_lines(rows))
+    by = {r["doc_id"]: r["n_dropped"] for r in out}
+    assert by[0] == 0 and all(by[i] == 2 for i in range(1, 40)) and by[200] == 0 and by[None] == 1
+
+
+def test_no_line_that_recurs_word_for_word_goes_from_everywhere(spark):
+    rng = random.Random(29)
+    base = prose(rng, 20).split()
+    other = " ".join(base[:-1] + [prose(rng, 1)])
+    rows = [(1, other, "s")] + [(i, " ".join(base), "s") for i in (2, 3, 4)] + [(5, " ".join(base[:-1] + [prose(rng, 1)]), "s")]
+    out = {r["doc_id"]: r["text"] for r in linededup.drop_lines(frame(spark, rows)).collect()}
+    assert out == {1: other, 2: " ".join(base), 3: "", 4: "", 5: ""}
 
 
 def test_rows_with_null_or_repeated_ids_are_documents_of_their_own(spark):
@@ -179,16 +245,17 @@ def test_rows_with_null_or_repeated_ids_are_documents_of_their_own(spark):
     rows += [(7, f"{own[4 + i]}\n{b}", "s") for i in range(4)]  # only among rows that repeat one
     rows += [(i, f"{own[8 + j]}\n{c}", "s") for j, i in enumerate([None, None, 9, 8])]
     out = [(r["doc_id"], r["text"]) for r in linededup.drop_lines(frame(spark, rows)).collect()]
+    assert sorted(map(str, out)) == sorted(str(x[:2]) for x in brute_lines(rows))
     assert len(out) == len(rows) and all(sum(o in t for _, t in out) == 1 for o in own)
     assert [i for i, t in out if a in t] == [None] and [i for i, t in out if b in t] == [7] and [i for i, t in out if c in t] == [8]
 
 
 def test_templates():
-    assert linededup.templates("a b") == [] and linededup.templates("1 2 3 4") == []
-    assert linededup.templates("took 15ms to\tload") == linededup.templates("  took 9ms to load ")
-    a, b = "k1 one two three four five six seven eight nine ten".split(), "k2 one two three four five six seven eight nine zzz".split()
-    assert set(linededup.templates(" ".join(a))) & set(linededup.templates(" ".join(b)))
-    assert all(t.startswith("11 ") for t in linededup.templates(" ".join(a)))
+    assert linededup.masked("a b") == [] and linededup.masked("1 2 3 4") == []
+    assert linededup.masked("took 15ms to\tload") == linededup.masked("  took 9ms to load ") == ["took", "<*>", "to", "load"]
+    a, b = (linededup.masked(f"{x} one two three four five") for x in ("k1", "k2"))
+    assert linededup.key(a) == linededup.key(b) and linededup.leaf(a) == linededup.leaf(b) != linededup.leaf(a[:-1])
+    assert linededup.leaf(["a", "b", "c", "d"]) == linededup.NONE and linededup.key(["x"] * 51) & 1 and not linededup.key(["x"] * 50) & 1
 
 
 # Sketches and near copies
