@@ -2,23 +2,29 @@
 
 Rules (verdict, host, path) fit a host and its subdomains if the path starts with
 the rule's; the longest fitting rule decides.  Other urls are judged by boosted
-regression trees over lexical features: lengths, depth, digit ratio, entropy,
-parameter counts, hyphens and suffix statistics.  The trees are grown on the
-driver from labelled urls (at most MAX_LABELLED rows, taken in hash order) whose
+regression trees over lexical features: length, host length, depth, digit ratio,
+entropy of the host, parameter counts and suffix statistics.  The trees are grown on
+the driver from labelled urls (at most MAX_LABELLED rows, taken in hash order) whose
 features are computed by the same SQL expressions, and become nested CASE
-expressions, so judging is one projection inside generated code: no join, no
-shuffle, no Python.
+expressions, so judging is one projection: no join, no shuffle, no Python.  (The
+entropy is a higher-order function, which Spark evaluates outside generated code.)
+
+No table labels urls.  The labelled ones (``labelled_urls``) are random urls of
+invented words, labelled by a rule that weighs several signs: length, depth, share of
+digits, entropy, parameters and suffix.  No single sign decides.
 
 Null urls and urls without "://" have an empty host and path and are judged like
-any other text.  Repeated rows give repeated rows.
+any other text.  Repeated rows give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from itertools import product
+import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,32 +34,39 @@ from gridsmith.llm.arrowmap import table
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 MAX_LABELLED = 20_000
-ROUNDS, DEPTH, RATE, LEAST_LEAF, L2 = 40, 3, 0.3, 4.0, 1.0
+ROUNDS, DEPTH, RATE, LEAST_LEAF, L2 = 60, 3, 0.3, 2.0, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Last labels of hosts whose share of blocked urls is a feature.
 SUFFIX_SMOOTHING = 4.0
 
-# Labelled urls, made from a rule: hosts that sell by compound names, with tracking
-# parameters and counters, against plain sites with readable paths.
-_PUSHED = ("cheap", "free", "best", "win", "hot", "fast")
-_SOLD = ("pills", "casino", "bets", "loans", "deals", "ads", "watches", "track", "farm")
-_PLAIN = ("library", "gazette", "river", "kitchen", "museum", "atlas", "garden", "physics", "weather", "theatre")
-_SUFFIXES = ("com", "org", "net", "info")
-_PATHS = ("/", "/en/12", "/fr/845.html", "/de/77/", "/news/2019/05/long-story", "/a?utm_source=feed", "/es/301?page=2&ref=x", "/en/9#top", "")
-_FRONTS = ("", "www.", "blog.", "m.")
+# Labelled urls: random parts, and a rule over several signs.
+LABELLED, SEED = 1600, 5
+_SUFFIXES = (("com", 0.0), ("org", -0.6), ("net", 0.0), ("edu", -1.2), ("info", 0.5), ("biz", 0.9), ("top", 1.2), ("click", 1.4))
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 to block and 0 to allow); suffixes, fronts and paths are spread alike over both."""
+def labelled_urls(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, int]]:
+    """(url, 1 to block and 0 to allow) of ``n`` random urls."""
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(k))
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
     out = []
-    for n, (a, b) in enumerate(product(_PUSHED, _SOLD)):
-        for k in range(4):
-            name = (f"{a}-{b}", f"{b}-{a}", f"{a}-{b}-{n * 7 + k}", f"{a}{b}{n * 97 + 11}")[k]
-            out.append((f"{'https' if n % 2 else 'http'}://{_FRONTS[(n + k) % 4]}{name}{('.example', '')[k % 2]}.{_SUFFIXES[(n // 2 + k) % 4]}{_PATHS[(n + 2 * k) % 9]}", 1))
-    for n, (a, b) in enumerate(product(_PLAIN, _PLAIN)):
-        for k in range(2):
-            name = (f"{a}{b}", a)[k]
-            out.append((f"{'https' if n % 2 else 'http'}://{_FRONTS[(n + k) % 4]}{name}{('.example', '')[(n // 3 + k) % 2]}.{_SUFFIXES[(n // 2 + k) % 4]}{_PATHS[(n + 2 * k) % 9]}", 0))
+    for _ in range(n):
+        risky = rng.random()  # how likely each part is to be of the worse kind
+        worse = lambda: rng.random() < risky * 0.7  # noqa: E731, B023
+        host = noise(rng.randint(8, 24)) if worse() else word(rng.randint(2, 4)) + (rng.choice(("", "-", "")) + word(rng.randint(1, 3)) if rng.random() < 0.5 else "")
+        front = rng.choice(("", "", "www.", "m.", "blog."))
+        suffix, odds = rng.choice(_SUFFIXES[4:] if worse() else _SUFFIXES[:5])
+        middle = rng.choice(("", ".example"))
+        parts = [noise(rng.randint(4, 16)) if worse() else rng.choice((word(rng.randint(1, 4)), "en", "fr", str(rng.randint(1, 9999)), str(rng.randint(1990, 2030)))) for _ in range(rng.randint(4, 9) if worse() else rng.randint(0, 4))]
+        params = [f"{word(1)}={noise(rng.randint(4, 20)) if worse() else word(2)}" for _ in range(rng.randint(3, 9) if worse() else rng.choice((0, 0, 0, 1, 1, 2)))]
+        path = "/" + "/".join(parts) + rng.choice(("", "/", ".html")) if parts else rng.choice(("", "/"))
+        name = front + host + middle + "." + suffix
+        url = f"{rng.choice(('http', 'https'))}://{name}{path}" + ("?" + "&".join(params) if params else "") + rng.choice(("", "", "#top"))
+        counts = Counter(name)
+        entropy = -sum(c / len(name) * math.log2(c / len(name)) for c in counts.values())
+        digits = sum(c.isdigit() for c in url) / len(url)
+        signs = (len(url) - 55) / 40 + (len(parts) - 3.5) / 2.5 + (digits - 0.12) / 0.08 + (entropy - 3.45) / 0.35 + (len(params) - 2) / 2 + odds
+        out.append((url, int(signs > 1.2)))
     return out
 
 
@@ -87,15 +100,10 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     return {
         "length": F.length(url).cast("double"),
         "host_length": n_host.cast("double"),
-        "path_length": F.length(path).cast("double"),
         "depth": F.regexp_count(path, F.lit("/[^/]")).cast("double"),
-        "labels": (F.length(host) - F.length(F.translate(host, ".", "")) + 1).cast("double"),
-        "hyphens": (n_host - F.length(F.translate(host, "-", ""))).cast("double"),
         "digit_ratio": (digits(url) / F.greatest(F.length(url), F.lit(1))).cast("double"),
-        "host_digits": digits(host).cast("double"),
         "entropy": F.when(n_host > 0, entropy).otherwise(0.0).cast("double"),
         "parameters": F.regexp_count(query, F.lit("[^&]+")).cast("double"),
-        "longest_label": F.coalesce(F.array_max(F.transform(F.split(host, r"\."), F.length)), F.lit(0)).cast("double"),
     }
 
 
@@ -135,41 +143,47 @@ class Model:
 
 def grow(rows: list[list[float]], labels: list[int], rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE) -> tuple[float, list]:
     """Second-order boosting of the logistic loss with exact splits: (base margin, trees)."""
-    n, width = len(rows), len(rows[0]) if rows else 0
-    p = (sum(labels) + 1) / (n + 2)
+    x, y = np.array(rows, float).reshape(len(rows), len(rows[0]) if rows else 0), np.array(labels, float)
+    n = y.size
+    p = (y.sum() + 1) / (n + 2)
     base = math.log(p / (1 - p))
-    margin, trees = [base] * n, []
-    columns = [[r[j] for r in rows] for j in range(width)]
-
-    def node(at: list[int], left: int):
-        g, h = sum(grad[i] for i in at), sum(hess[i] for i in at)
-        best = (1e-6, None)
-        if left:
-            for j in range(width):
-                column, gl, hl = columns[j], 0.0, 0.0
-                order = sorted(at, key=column.__getitem__)
-                for a, b in zip(order, order[1:], strict=False):
-                    gl, hl = gl + grad[a], hl + hess[a]
-                    if column[a] < column[b] and hl >= LEAST_LEAF / 8 and h - hl >= LEAST_LEAF / 8:
-                        gain = gl * gl / (hl + L2) + (g - gl) ** 2 / (h - hl + L2) - g * g / (h + L2)
-                        if gain > best[0]:
-                            best = (gain, (j, (column[a] + column[b]) / 2))
-        if best[1] is None:
+    margin, trees = np.full(n, base), []
+
+    def node(at: np.ndarray, left: int):
+        g, h = float(grad[at].sum()), float(hess[at].sum())
+        split = best_split(x[at], grad[at], hess[at]) if left else None
+        if split is None:
             value = rate * g / (h + L2)
-            for i in at:
-                margin[i] += value
-            return float(value)
-        j, cut = best[1]
-        return j, cut, node([i for i in at if columns[j][i] <= cut], left - 1), node([i for i in at if columns[j][i] > cut], left - 1)
+            margin[at] += value
+            return value
+        _, j, cut = split
+        low = x[at, j] <= cut
+        return j, cut, node(at[low], left - 1), node(at[~low], left - 1)
 
     for _ in range(rounds if n else 0):
-        prob = [1 / (1 + math.exp(-m)) for m in margin]
-        grad = [y - q for y, q in zip(labels, prob, strict=True)]
-        hess = [max(q * (1 - q), 1e-9) for q in prob]
-        trees.append(node(list(range(n)), depth))
+        prob = 1 / (1 + np.exp(-margin))
+        grad, hess = y - prob, np.maximum(prob * (1 - prob), 1e-9)
+        trees.append(node(np.arange(n), depth))
     return base, trees
 
 
+def best_split(x: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[float, int, float] | None:
+    """(gain, feature, cut) of the best split of some rows, the first of equal ones; None if none gains."""
+    g, h = grad.sum(), hess.sum()
+    best = None
+    for j in range(x.shape[1]):
+        order = np.argsort(x[:, j], kind="stable")
+        v, gl, hl = x[order, j], np.cumsum(grad[order])[:-1], np.cumsum(hess[order])[:-1]
+        may = (v[:-1] < v[1:]) & (hl >= LEAST_LEAF) & (h - hl >= LEAST_LEAF)
+        if not may.any():
+            continue
+        gain = np.where(may, gl**2 / (hl + L2) + (g - gl) ** 2 / (h - hl + L2) - g * g / (h + L2), -np.inf)
+        i = int(gain.argmax())
+        if gain[i] > (best[0] if best else 1e-6):
+            best = (float(gain[i]), j, float((v[i] + v[i + 1]) / 2))
+    return best
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> Model:
     """A model from (url, label) rows; at most ``max_rows`` of them, in hash order, reach the driver."""
     rows = labelled.select("url", F.col("label").cast("int").alias("label")).where("label IS NOT NULL").orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
