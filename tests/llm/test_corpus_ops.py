@@ -9,7 +9,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from gridsmith.llm import fingerprints, linededup, mixing, neardup, toxicity
@@ -136,10 +138,10 @@ def test_mixing_of_empty_tables(spark):
 # Line dedup
 
 
-def brute_lines(rows):
+def brute_lines(rows, long_docs=linededup.LONG_DOCS):
     """(doc_id, text, lines, dropped) by the statement of the module, each row a document."""
     place = [(linededup.LAST if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)) for i, t, _ in rows]
-    enough = lambda n: linededup.LONG_DOCS if n > linededup.LONG_TOKENS else linededup.LEAST_DOCS
+    enough = lambda n: long_docs if n > linededup.LONG_TOKENS else linededup.LEAST_DOCS
     exact = defaultdict(set)  # template: its rows
     for r, (_, t, _) in enumerate(rows):
         for line in (t or "").split("\n"):
@@ -577,12 +579,21 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect()} - bad
         if n == "line_dedup":
             rows = [(r["doc_id"], r["text"], "") for r in before.collect()]
-            assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted((i, t) for i, t, *_ in brute_lines(rows))
+            assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted((i, t) for i, t, *_ in brute_lines(rows, linededup.LEAST_DOCS))
             assert docs.where("n_chars <> length(text)").count() == 0
         if n == "near_dedup":
             rows = [(r["doc_id"], r["text"], "") for r in before.collect()]
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted(min(i for i, t, _ in rows if (t or "") in g) for g in brute_classes(rows))
-    assert kept["pieces"].count() == kept["mixing"].count()
+        if n == "mixing":
+            rows = [(r["doc_id"], r["text"], r["source"]) for r in before.collect()]
+            want = Counter()
+            for (i, t, _), (_, _, size, *taken) in zip(rows, brute_mix(rows)[0], strict=True):
+                want[i, t] += sum(size > 0 and 2 * w >= size for w in taken)
+            assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == +want
+        if n == "pieces":
+            library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            want = sorted((r["doc_id"], len(library.encode(r["text"] or ""))) for r in before.collect())
+            assert sorted((r["doc_id"], r["n_tokens"]) for r in docs.collect()) == want
     assert sorted(map(str, cp.run(spark, SMALL).collect())) == sorted(map(str, kept["pieces"].collect()))
 
 

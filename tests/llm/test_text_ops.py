@@ -5,6 +5,7 @@ import binascii
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -239,6 +240,14 @@ def der(tag, *parts):
 
 KEY = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), der(5)), der(4, der(0x30, der(2, bytes(range(1, 200))))))
 SSH = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(32))
+CERT = der(0x30, der(0x30, der(2, b"\1"), der(0x30, der(6, b"\x2a\x03")), der(0x30)), der(0x30, der(6, b"\x2a\x03")), der(3, bytes(60)))
+_field = lambda b: len(b).to_bytes(4, "big") + b
+SSH_FILE = b"openssh-key-v1\0" + _field(b"none") + _field(b"none") + _field(b"") + (1).to_bytes(4, "big") + _field(SSH) + _field(b"abcdabcd" + bytes(64))
+PGP = bytes([0xC5, 100]) + bytes(100) + bytes([0xCD, 10]) + bytes(10)
+
+
+def armour(label, data, *headers):
+    return f"-----BEGIN {label}-----\n" + "".join(f"{h}\n" for h in headers) + "\n".join(re.findall(".{1,64}", base64.b64encode(data).decode())) + f"\n-----END {label}-----"
 
 
 def token(header):
@@ -253,7 +262,15 @@ def token(header):
         (base64.b64encode(KEY).decode(), "der"),
         (KEY.hex().upper(), "der"),
         ("ssh-ed25519 " + base64.b64encode(SSH).decode(), "ssh"),
-        ("-----BEGIN PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(KEY).decode())) + "\n-----END PRIVATE KEY-----", "armour"),
+        ("path/" + base64.b64encode(KEY).decode(), "der"),
+        ("key_" + base64.urlsafe_b64encode(KEY).decode(), "der"),
+        ("ab" + KEY.hex(), "der"),
+        (base64.b64encode(SSH_FILE).decode(), "ssh"),
+        (f"bearer-{token({'alg': 'HS256'})}", "jwt"),
+        (armour("PRIVATE KEY", KEY), "armour"),
+        (armour("OPENSSH PRIVATE KEY", SSH_FILE), "armour"),
+        (armour("PGP PRIVATE KEY BLOCK", PGP), "armour"),
+        (armour("RSA PRIVATE KEY", bytes(64), "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00"), "armour"),
     ],
 )
 def test_structures_are_confirmed(text, kind):
@@ -263,11 +280,36 @@ def test_structures_are_confirmed(text, kind):
     assert f"é {text} ."[start:end] in text
 
 
-@pytest.mark.parametrize("text", [token({"typ": "JWT"}), base64.b64encode(KEY[:-3]).decode(), base64.b64encode(b"0" + bytes(60)).decode(), "A" * 60, "M" * 64, binascii.hexlify(bytes(40)).decode(), "eyJhbGciOi.x.y"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        token({"typ": "JWT"}),
+        base64.b64encode(KEY[:-3]).decode(),
+        base64.b64encode(b"0" + bytes(60)).decode(),
+        base64.b64encode(CERT).decode(),
+        base64.b64encode(b"openssh-key-v1\0" + bytes(range(90))).decode(),
+        base64.b64encode(SSH_FILE[:-8]).decode(),
+        armour("PGP PRIVATE KEY BLOCK", PGP[:-1]),
+        armour("ENCRYPTED PRIVATE KEY", bytes(range(99))),
+        armour("RSA PRIVATE KEY", bytes(63), "DEK-Info: AES-128-CBC,00"),
+        "A" * 60,
+        "M" * 64,
+        binascii.hexlify(bytes(40)).decode(),
+        "eyJhbGciOi.x.y",
+    ],
+)
 def test_look_alikes_are_not(text):
     assert secrets.added_spans(text) == []
 
 
+@pytest.mark.parametrize("text", ["ey" * 200_000, "-----BEGIN PRIVATE KEY-----\n" * 8_000, "eyJ" * 100_000 + "fQ.x.y", "MIIB" * 80_000, "30" * 150_000, "AAAAB3NzaC1yc2E" * 20_000, "ab." * 100_000, "token" * 60_000])
+def test_scans_are_linear(text):
+    start = time.process_time()
+    secrets.added_spans(text)
+    secrets.base_spans(text)
+    assert time.process_time() - start < 4
+
+
 def test_secrets_of_a_table(docs, spark):
     out = secrets.scan(docs).collect()
     assert len(out) == len(TEXTS)
@@ -310,7 +352,7 @@ def test_url_rules_and_verdicts(spark, url_model):
         r = out[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule), u
         assert r["verdict"] == (verdict or ("block" if r["margin"] > 0 else "allow"))
-    assert out[12]["verdict"] == "block" and out[13]["verdict"] == "allow"
+    assert out[12]["verdict"] == "allow" and out[13]["verdict"] == "allow"
     assert urls.judge(df.limit(0), url_model).count() == 0
 
 
@@ -325,14 +367,40 @@ def test_url_expressions_equal_the_trees(spark, url_model):
         assert abs(r["margin"] - want[r["page_id"]]) < 1e-9
 
 
-def test_url_model_on_held_out_labels(spark):
-    every = urls.labelled_urls()
-    train = [x for i, x in enumerate(every) if i % 4]
-    test = [x for i, x in enumerate(every) if not i % 4]
-    model = urls.train(spark.createDataFrame(train, "url string, label int"))
-    got = {r["page_id"]: r["margin"] > 0 for r in urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id long, url string"), model).collect()}
-    right = sum(got[i] == bool(y) for i, (_, y) in enumerate(test))
-    assert right / len(test) > 0.85
+def test_url_model_on_held_out_labels(spark, url_model):
+    test = urls.labelled_urls(800, seed=77)
+    got = {r["page_id"]: r["margin"] > 0 for r in urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id long, url string"), url_model).collect()}
+    assert sum(got[i] == bool(y) for i, (_, y) in enumerate(test)) / len(test) > 0.9
+    assert 0.2 < sum(y for _, y in test) / len(test) < 0.8
+
+
+def test_url_trees_use_every_feature(url_model):
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, float):
+            used.add(url_model.names[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    for tree in url_model.trees:
+        walk(tree)
+    assert used >= {"length", "depth", "digit_ratio", "entropy", "parameters", "suffix"}
+
+
+def test_splits_against_all_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        x, grad, hess = rng.integers(0, 6, (40, 3)).astype(float), rng.normal(size=40), rng.uniform(0.05, 0.25, 40)
+        want = 1e-6
+        for j in range(3):
+            for cut in sorted(set(x[:, j]))[:-1]:
+                low = x[:, j] <= cut
+                if min(hess[low].sum(), hess[~low].sum()) >= urls.LEAST_LEAF:
+                    part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + urls.L2)  # noqa: E731, B023
+                    want = max(want, part(low) + part(~low) - part(np.full(40, True)))
+        got = urls.best_split(x, grad, hess)
+        assert (got[0] if got else 1e-6) == pytest.approx(want)
 
 
 def test_url_labels_may_be_few(spark):
