@@ -153,7 +153,7 @@ class PieceModel:
             if size > at_most[end - size + 1]:
                 at_most[end - size + 1] = size
         get_fit, good, shorter = self.fits.get, self.good, self.shorter
-        closed = 0  # the bitfield: bit p is set if place p does not lead to the end
+        closed = bytearray(n + 1)  # the bitfield, a byte a place: set if the place does not lead to the end
         out: list[int] = []
         ends = [0]
         last = -1
@@ -162,7 +162,7 @@ class PieceModel:
             while size:
                 end = pos + size
                 piece = good[text[pos:end]]
-                if not (closed and closed >> end & 1) and (last < 0 or ((ok := get_fit(last << 24 | piece)) or (ok is None and self._fit(last, piece)))):
+                if not closed[end] and (last < 0 or ((ok := get_fit(last << 24 | piece)) or (ok is None and self._fit(last, piece)))):
                     break
                 size = shorter[piece]
             if size:
@@ -176,7 +176,7 @@ class PieceModel:
                 # step back: this place is closed, and the last piece's next shorter one is tried
                 if last < 0:
                     raise RuntimeError("no piece sequence")
-                closed |= 1 << pos
+                closed[pos] = 1
                 ends.pop()
                 pos = ends[-1]
                 size = shorter[out.pop()]
