@@ -56,11 +56,11 @@ def _filtered(rows: np.ndarray, bpp: int) -> bytes:
     return out.tobytes()
 
 
-def encode_png(samples: bytes, width: int = WIDTH, channels: int = 1, level: int = LEVEL, adaptive: bool = False) -> bytes:
+def encode_png(samples: bytes, width: int = WIDTH, channels: int = 1, level: int = LEVEL, adaptive: bool = True) -> bytes:
     """Rows of 8-bit samples as a PNG.
 
-    ``adaptive`` chooses a filter for each row, which suits pictures; without it
-    rows are stored unfiltered, which suits text and other non-smooth samples.
+    ``adaptive`` chooses a filter for each row (of those that undo as whole rows);
+    without it rows are stored unfiltered.
     """
     colour = {1: 0, 2: 4, 3: 2, 4: 6}[channels]
     line = width * channels
@@ -102,20 +102,20 @@ def _unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
             y = end
             continue
         if kind >= 3:
-            up = (rows[y - 1] if y else zero).astype(np.int16)
-            row = rows[y].astype(np.int16)
-            for x in range(0, line, bpp):
-                a = row[x - bpp : x] if x else np.zeros(bpp, np.int16)
-                b = up[x : x + bpp]
+            # each sample needs the one before it: plain numbers are faster here than arrays of one
+            row, up = bytearray(rows[y].tobytes()), (rows[y - 1] if y else zero).tobytes()
+            a = c = 0
+            for x in range(line):
+                b = up[x]
+                if x >= bpp:
+                    a, c = row[x - bpp], up[x - bpp]
                 if kind == 3:
                     guess = (a + b) >> 1
                 else:
-                    c = up[x - bpp : x] if x else np.zeros(bpp, np.int16)
-                    p = a + b - c
-                    pa, pb, pc = np.abs(p - a), np.abs(p - b), np.abs(p - c)
-                    guess = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
-                row[x : x + bpp] = (row[x : x + bpp] + guess) & 255
-            rows[y] = row.astype(np.uint8)
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                row[x] = (row[x] + guess) & 255
+            rows[y] = np.frombuffer(row, np.uint8)
         y += 1
     return rows
 
@@ -124,7 +124,7 @@ def decode_png(stored: bytes) -> np.ndarray:
     """The samples as (height, width, channels); raises MediaError on any damage."""
     if stored[:8] != SIGNATURE:
         raise MediaError("no PNG signature")
-    at, head, data, ended = 8, None, [], False
+    at, head, data, ended, last = 8, None, [], False, b""
     while at < len(stored):
         if at + 12 > len(stored):
             raise MediaError("cut chunk")
@@ -136,12 +136,17 @@ def decode_png(stored: bytes) -> np.ndarray:
         if head is None and kind != b"IHDR":
             raise MediaError("IHDR is not first")
         if kind == b"IHDR":
+            if head is not None or n != 13:
+                raise MediaError("IHDR is repeated or of a wrong length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
+            if data and last != b"IDAT":
+                raise MediaError("IDAT chunks are parted")
             data.append(body)
         elif kind == b"IEND":
             ended = True
             break
+        last = kind
     if head is None or not ended:
         raise MediaError("IHDR or IEND is missing")
     width, height, depth, colour, packing, filtering, laced = head

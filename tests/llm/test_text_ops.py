@@ -109,6 +109,28 @@ def test_all_row_filters_are_undone():
     assert (media._unfilter(raw, 3) == rows).all()
 
 
+def chunk(kind, data):
+    return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+
+def test_chunks_out_of_order_are_found():
+    whole = media.encode_png(bytes(range(192)) * 4)
+    head, data = whole[16:29], whole[whole.index(b"IDAT") + 4 : -16]
+    make = lambda *parts: media.SIGNATURE + b"".join(chunk(k, d) for k, d in parts)
+    good = [(b"IHDR", head), (b"tEXt", b"x"), (b"IDAT", data[:9]), (b"IDAT", data[9:]), (b"IEND", b"")]
+    assert media.decode_png(make(*good)).tobytes() == bytes(range(192)) * 4
+    for parts in ([good[0], *good], [(b"IHDR", head[:12]), *good[1:]], [(b"IHDR", head + b"x"), *good[1:]], [good[0], good[2], good[1], good[3], good[4]], good[1:], good[:-1], [good[2], good[0], good[3], good[4]]):
+        with pytest.raises(media.MediaError):
+            media.decode_png(make(*parts))
+
+
+def test_rows_of_text_are_filtered():
+    text = ("the same words again and again, " * 60).encode()
+    stored = media.encode_png(text[: len(text) // 192 * 192])
+    raw = np.frombuffer(zlib.decompress(stored[stored.index(b"IDAT") + 4 : -16]), np.uint8).reshape(-1, 193)
+    assert raw[:, 0].any()
+
+
 def test_damage_is_found():
     whole = media.encode_png(bytes(range(192)) * 4)
     for at in range(len(whole)):
