@@ -8,7 +8,8 @@ made of both.
 The neighbour order is global, but nothing is gathered in one task or on the
 driver: rows go once through an exchange by doc_id range (as compressed bytes),
 each task walks its sorted range with one row of look-ahead, and the first row
-of each range is sent to the range before it as well.  The driver sees only one
+of each range is sent to the range before it as well.  Rows that share a doc_id, or
+have none, are cut further by their text's digest.  The driver sees only one
 (doc_id, digest) per range.
 
 Null texts are empty; a text without words has the all-zero fingerprint, and two
@@ -19,6 +20,8 @@ doc_ids come last.  Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,37 +74,43 @@ _OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.st
 _LAST = (1 << 63) - 1
 
 
-def _cuts(ids: DataFrame, ranges: int) -> np.ndarray:
-    """Falling cut points of the ids.  Near quantiles do: the result is the same for any cuts."""
-    found = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [1.0], 10 * ranges)).first()[0]
-    return np.array(sorted(set(found or []), reverse=True), dtype=np.int64)
+def _cuts(ids: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """Cut points of (negated id, first bits of the digest), rising; null ids are last.
+
+    Near quantiles of the ids do: the result is the same for any cuts.  An id that
+    many rows have, or null, is cut further by the digest, which is even.
+    """
+    row = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [1.0], 10 * ranges).alias("cuts"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("known")).first()
+    often = Counter(-k for k in row["cuts"] or [])
+    if row["rows"] > row["known"]:
+        often[_LAST] = max(1, round(ranges * (row["rows"] - row["known"]) / row["rows"]))
+    return sorted((k, (j << 64) // n) for k, n in often.items() for j in range(n + (n > 1 and k != _LAST)))
 
 
-def _range_of(keys: list[int | None], falling: np.ndarray) -> list[int]:
-    """The number of each id's range; range 0 has the largest ids, and nulls are in the last."""
-    negated = -falling
-    return [falling.size if k is None else int(np.searchsorted(negated, -k, side="left")) for k in keys]
+def _place(key: int | None, digest: bytes) -> tuple[int, int]:
+    return (_LAST if key is None else -key), int.from_bytes(digest[:8], "big")
 
 
-def _firsts(rows: DataFrame, falling: np.ndarray) -> dict[int, tuple[int, bytes]]:
+def _firsts(rows: DataFrame, cuts: list[tuple[int, int]]) -> dict[int, tuple[int, bytes]]:
     """(negated id, digest) of the first row of each range that has rows; a partial result per task, one row per range in the end."""
 
     def run(batches):
         best: dict[int, tuple[int, bytes]] = {}
         for batch in batches:
             for part in slices(batch):
-                keys = part.column(0).to_pylist()
-                for k, t, p in zip(keys, part.column(1).to_pylist(), _range_of(keys, falling), strict=True):
-                    first = _LAST if k is None else -k
-                    if p not in best or first <= best[p][0]:
-                        best[p] = min(best.get(p, (_LAST, b"\xff" * 17)), (first, hashlib.md5((t or "").encode()).digest()))
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    digest = hashlib.md5((t or "").encode()).digest()
+                    place = _place(k, digest)
+                    p, first = bisect_right(cuts, place), (place[0], digest)
+                    if p not in best or first < best[p]:
+                        best[p] = first
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.binary())], names=["part", "first", "digest"])
 
     found = map_batches(rows, run, "part int, first bigint, digest binary").groupBy("part").agg(F.min(F.struct("first", "digest")).alias("m"))
     return {r["part"]: (r["m"]["first"], bytes(r["m"]["digest"])) for r in found.collect()}
 
 
-def _packed(rows: DataFrame, falling: np.ndarray, firsts: dict[int, tuple[int, bytes]]) -> DataFrame:
+def _packed(rows: DataFrame, cuts: list[tuple[int, int]], firsts: dict[int, tuple[int, bytes]]) -> DataFrame:
     """Compressed texts with their range; the first of each range also goes to the range before it, as its look-ahead."""
     full = sorted(firsts)
     before = {p: full[i - 1] for i, p in enumerate(full)}
@@ -112,12 +121,13 @@ def _packed(rows: DataFrame, falling: np.ndarray, firsts: dict[int, tuple[int, b
         for batch in batches:
             for part in slices(batch):
                 out: list[list] = [[] for _ in range(5)]
-                keys = part.column(0).to_pylist()
-                for k, text, p in zip(keys, part.column(1).to_pylist(), _range_of(keys, falling), strict=True):
+                for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     data = (text or "").encode()
                     row = (k, hashlib.md5(data).digest(), pack.compress(data))
+                    place = _place(k, row[1])
+                    p = bisect_right(cuts, place)
                     to = [(p, 0)]
-                    if p not in sent and firsts[p] == (_LAST if k is None else -k, row[1]):
+                    if p not in sent and firsts[p] == (place[0], row[1]):
                         sent.add(p)
                         to.append((before[p], 1))
                     for where in to:
@@ -137,8 +147,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m:
     spark = df.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    falling = _cuts(rows.select("doc_id"), ranges)
-    packed = _packed(rows, falling, _firsts(rows, falling))
+    cuts = _cuts(rows.select("doc_id"), ranges)
+    packed = _packed(rows, cuts, _firsts(rows, cuts))
 
     def run(batches):
         shingle, sketch = Shingler(k), Sketcher(m, ell)
@@ -172,7 +182,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m:
             yield batch_of(out)
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    spread = packed.repartitionById(max(1, falling.size + 1), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "digest")
+    spread = packed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "digest")
     return map_batches(spread, run, schema)
 
 

@@ -478,6 +478,14 @@ def test_fingerprints_against_brute_force(spark):
     assert fingerprints.fingerprint(frame(spark, rows)).count() == len(rows)
 
 
+def test_rows_without_an_id_or_of_one_are_spread(spark):
+    rng = random.Random(31)
+    rows = [(None, words(rng, 5), "s") for _ in range(200)] + [(7, words(rng, 5), "s") for _ in range(200)] + [(i, words(rng, 5), "s") for i in range(200)]
+    cuts = fingerprints._cuts(frame(spark, rows).select("doc_id"), 16)
+    held = Counter(fingerprints.bisect_right(cuts, fingerprints._place(i, hashlib.md5(t.encode()).digest())) for i, t, _ in rows)
+    assert cuts == sorted(cuts) and max(held.values()) <= 100
+
+
 # Toxicity
 
 
