@@ -32,11 +32,13 @@ only if these are counted to be at most SMALL_IDS, else by a shuffle join.
 
 from __future__ import annotations
 
+import math
+import zlib
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.llm.arrowmap import map_batches, slices, table
@@ -50,6 +52,8 @@ SHORT, SHORT_ELL = 25, 2
 SMALL_IDS = 500_000
 SMALL_BUCKET = 16
 SENT_DIGESTS = 20_000
+#: Slots that shingles are counted in, and the slices that tasks add them up by.
+SLOTS, PARTS = 1 << 21, 64
 
 
 def digest_of(text: Column) -> Column:
@@ -158,34 +162,75 @@ def _with_sequences(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "seq_a", "seq_b")
 
 
-def _tokens(nodes: DataFrame, seqs: DataFrame, scratch: Scratch) -> DataFrame:
-    """token, node, n (the node's distinct shingles) and c (how many of ``nodes`` have the token)."""
+def _distinct(raw: bytes) -> np.ndarray:
+    """A text's different shingles, rising."""
+    return np.unique(np.frombuffer(raw, "<u4"))
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many rows of (node, seq) shingles of each of SLOTS slots (their low bits) occur.
+
+    Tasks add up whole slices of the slots, so that no row is made for a shingle;
+    what reaches the driver has the same size for any input.
+    """
+
+    def count(batches):
+        sums = np.zeros(SLOTS, "<u4")
+        for batch in batches:
+            for part in slices(batch):
+                for raw in part.column(1).to_pylist():
+                    np.add.at(sums, _distinct(raw) & (SLOTS - 1), 1)
+        for k, own in enumerate(sums.reshape(PARTS, -1)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["part", "sums"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(raw), "<u4")
+                sums[k] = sums[k] + own if k in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], names=["part", "sums"])
+
+    found = map_batches(map_batches(texts, count, "part int, sums binary").repartition(PARTS, "part"), add, "part int, sums binary")
+    out = np.zeros((PARTS, SLOTS // PARTS), "<u4")
+    for r in found.collect():
+        out[r["part"]] += np.frombuffer(zlib.decompress(bytes(r["sums"])), "<u4")
+    return out.reshape(-1)
+
+
+def _prefixes(texts: DataFrame, often: np.ndarray, like: float) -> DataFrame:
+    """node, n (its different shingles), common (how many texts have them, on average), and its rarest
+    shingles with the room after each, for rows of (node, seq).
+
+    Shingles are ordered by how many of these texts have their slot, then by value: an
+    order that all texts share.  n - ceil(like * n) + 1 of a text's n are its prefix,
+    and two texts alike by ``like`` have one of both prefixes in common.  Those in a
+    slot of their own meet nothing and are left out.  Slots that several shingles share
+    make this order less good and nothing wrong.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                tokens, owners, sizes = [], [], []
-                for node, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = np.unique(np.frombuffer(raw, "<u4"))
-                    tokens.append(own)
-                    owners += [node] * own.size
-                    sizes += [own.size] * own.size
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(owners), pa.array(sizes, pa.int64())], names=["token", "node", "n"])
+                out: list[list] = [[] for _ in range(4)]
+                for raw in part.column(1).to_pylist():
+                    own = _distinct(raw)
+                    have = often[own & (SLOTS - 1)]
+                    order = np.lexsort((own, have))[: own.size - math.ceil(own.size * like - 1e-9) + 1]
+                    keep = np.flatnonzero(have[order] > 1)
+                    for column, value in zip(out, (own.size, float(have.mean()) if own.size else 0.0, own[order[keep]].astype(np.int64), own.size - 1 - keep), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["node", "n", "common", "tokens", "rooms"])
 
-    tokens = scratch.keep(map_batches(nodes.join(seqs, "node").select("node", "seq"), run, "token bigint, node string, n bigint"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    return scratch.keep(tokens.join(counts, "token"))
+    return map_batches(texts, run, "node string, n bigint, common double, tokens array<bigint>, rooms array<bigint>")
 
 
-def _rarely_met(tokens: DataFrame, roots: DataFrame, like: float, scratch: Scratch) -> DataFrame:
-    """(a, b) of different components that may be alike by ``like``, each pair once, by
-    prefix, length and position filters, all exact.
+def _rarely_met(prefixes: DataFrame, roots: DataFrame, like: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of different components that may be alike by ``like``, by prefix, length and position filters, all exact.
 
-    Shingles are ordered by how many of these nodes have them; n - ceil(like * n) + 1
-    of a node's n are its prefix, and two texts alike by ``like`` share one there.
-    What comes after the places of a shared one bounds the overlap, which must reach
-    like / (1 + like) of both sizes together.
+    What comes after the places of a shared shingle bounds the overlap, which must
+    reach like / (1 + like) of both sizes together.
 
     A group of near copies shares hundreds of its shingles, nearly all of its nodes in
     one component by now.  So nodes do not meet nodes on shingles: a shingle keeps one
@@ -193,10 +238,7 @@ def _rarely_met(tokens: DataFrame, roots: DataFrame, like: float, scratch: Scrat
     the nodes outside its largest component, the strays, meet these.  The components a
     stray has met are made distinct before they are opened to their members.
     """
-    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "token"))
-    rare = tokens.withColumn("place", place)
-    rare = rare.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * like - 1e-9) + 1) & (F.col("c") > 1))
-    rare = rare.select("token", "node", "n", (F.col("n") - F.col("place")).alias("room"))
+    rare = prefixes.select("node", "n", F.explode(F.arrays_zip("tokens", "rooms")).alias("t")).select("node", "n", F.col("t.tokens").alias("token"), F.col("t.rooms").alias("room"))
     rare = scratch.keep(rare.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     by_root = rare.groupBy("token", "root").agg(F.count(F.lit(1)).alias("have"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("room").alias("room_b"))
     by_root = scratch.keep(by_root.withColumnRenamed("root", "rb"))
@@ -245,11 +287,12 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
     open_ = known.join(scratch.keep(mixed), ["band", "value"]).join(toward, ["node", "leader"], "left").select("band", "value", "size", "node", "root", F.coalesce("alike", F.lit(1.0)).alias("alike"))
     open_ = scratch.keep(open_)
     large = open_.where(F.col("size") > SMALL_BUCKET).select("band", "value", "node", "root")
-    tokens = None
+    prefixes = None
     if large.take(1):
-        tokens = _tokens(large.select("node").distinct(), seqs, scratch)
+        texts = scratch.keep(large.select("node").distinct().join(seqs, "node").select("node", "seq"))
+        prefixes = scratch.keep(_prefixes(texts, _frequencies(texts), like))
         # a second leader in each large bucket: the node with the most common shingles, which is alike with most of a group
-        central = tokens.groupBy("node").agg(F.avg("c").alias("common"))
+        central = prefixes.select("node", "common")
         best = F.struct("common", "node")
         centers = scratch.keep(large.join(central, "node").groupBy("band", "value").agg(F.max_by("node", best).alias("b"), F.max_by("root", best).alias("root_b")))
         toward = scratch.keep(large.join(centers, ["band", "value"]).where("root <> root_b").select(F.col("node").alias("a"), "b").distinct())
@@ -261,8 +304,8 @@ def near_copies(docs: DataFrame, like: float = LIKE, m: int = M, ell: int = ELL,
     # 1 - likeness is a metric: alike(a, b) >= like needs the two distances to the leader to differ by at most 1 - like
     possible = (F.col("root_a") != F.col("root_b")) & F.when(F.col("alike_b") >= like, F.col("alike_b") - F.col("alike_a") <= 1 - like + 1e-9).otherwise(F.col("a") < F.col("b"))
     second = y.join(x, ["band", "value"]).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if tokens is not None:
-        second = second.unionByName(_rarely_met(tokens, roots, like, scratch))
+    if prefixes is not None:
+        second = second.unionByName(_rarely_met(prefixes, roots, like, scratch))
     second = scratch.keep(second.distinct())
     late = scratch.keep(_aligned(_with_sequences(second, seqs), like).where(F.col("alike") >= like).select("a", "b"))
     roots = _merged(roots, late, scratch)
