@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridsmith import streaming
 from gridsmith.frame import Table, quoted
 from gridsmith.operators import binning, correlation, dedup, filling, filtering, joining, outliers, projection, sampling, sizes, sorting, summaries
+from gridsmith.plans import store
 from gridsmith.sources import files, footer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,7 +93,7 @@ simple("filter_no_nan", "lineitem", lambda t: filtering.filter_rows(with_nulls(t
 simple("filter_numeric_only", "lineitem", lambda t: filtering.filter_rows(with_nulls(t), "numeric-only"), f"SELECT * FROM ({NULLED}) WHERE l_discount IS NOT NULL")
 simple("filter_char_only", "lineitem", lambda t: filtering.filter_rows(with_nulls(t), "char-only"), f"SELECT * FROM ({NULLED}) WHERE l_returnflag <> '' AND l_linestatus <> ''")
 simple("filter_no_zeros", "lineitem", lambda t: filtering.filter_rows(with_nulls(t), "no-zeros"), f"SELECT * FROM ({NULLED}) WHERE l_orderkey <> 0 AND l_linenumber <> 0 AND l_discount <> 0 AND l_tax <> 0")
-simple("search_ci", "part", lambda t: filtering.search(t, "COPPER", "p_name,p_type", ignore_case=True), "SELECT * FROM part WHERE lower(p_name) LIKE '%copper%' OR lower(p_type) LIKE '%copper%'")
+simple("search_ci", "part", lambda t: filtering.search(t, "Small", "p_name,p_type", ignore_case=True), "SELECT * FROM part WHERE lower(p_name) LIKE '%small%' OR lower(p_type) LIKE '%small%'")
 simple("search_exact", "part", lambda t: filtering.search(t, "Brand#23", "p_brand", exact=True), "SELECT * FROM part WHERE p_brand = 'Brand#23'")
 simple("search_num", "orders", lambda t: filtering.search(t, "77", "o_orderkey,o_custkey"), "SELECT * FROM orders WHERE o_orderkey::VARCHAR LIKE '%77%' OR o_custkey::VARCHAR LIKE '%77%'")
 simple("search_rows", "orders", lambda t: filtering.search_positions(t, "77", "o_orderkey"), f"SELECT rn AS row_number, '77' AS search_value, 'o_orderkey' AS matched_columns FROM {numbered('orders')} WHERE o_orderkey::VARCHAR LIKE '%77%'")
@@ -268,17 +269,11 @@ for _part in ("basic", *footer.PARTS):
 
 
 # Files: written under the session's shared folder, and read back
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + "/files"
-
-
 def _written(fmt: str, table: str, schema: str, **options):
     def run(spark, sf_dir):
         import uuid
 
-        path = f"{_folder(spark)}/{uuid.uuid4().hex}.{fmt}"
+        path = f"{store.shared_folder(spark)}/files/{uuid.uuid4().hex}.{fmt}"
         files.write(load(spark, sf_dir, table), path, fmt, single_file=False, options=options)
         return files.read(spark, path, fmt, schema).df
 

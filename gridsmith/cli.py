@@ -75,7 +75,7 @@ def _split(t, a):
     ext = a.format or os.path.splitext(a.input)[1].lstrip(".") or "parquet"
     parts = sampling.split(t, a.ratio, a.stratified_by, a.random)
     for name, part in zip(sampling.split_names(len(parts), a.names, a.splits_prefix, ext), parts, strict=True):
-        files.write(part, os.path.join(a.output_dir, name))
+        files.write(part, os.path.join(a.output_dir, name), single_file=True)
     return None
 
 
@@ -155,7 +155,7 @@ def main(argv: list[str] | None = None) -> int:
         spark = session(jobs=a.jobs)
         log.info("Reading %s", a.input)
         if a.command == "optimize":
-            path = files.optimize(spark, a.input, a.output, a.compression, a.compression_level, a.sort_by, a.row_group_size, a.dictionary, a.no_dictionary, a.validate)
+            path = files.optimize(spark, a.input, a.output, a.compression, a.compression_level, a.sort_by, a.row_group_size, a.dictionary, a.no_dictionary, a.validate, single_file=True)
             log.info("Wrote %s", path)
             return 0
         if a.command == "metadata":
@@ -165,7 +165,7 @@ def main(argv: list[str] | None = None) -> int:
         if out is None:
             return 0
         if a.output:
-            files.write(out, a.output, None if a.format == "text" else a.format)
+            files.write(out, a.output, None if a.format == "text" else a.format, single_file=True)
             log.info("Wrote %s", a.output)
         else:
             df: DataFrame = out.df if isinstance(out, Table) else out

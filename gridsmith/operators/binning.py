@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridsmith.columns import is_numeric, resolve_list
 from gridsmith.errors import InvalidArgument
 from gridsmith.frame import Table, quoted
+from gridsmith.plans import quantiles
 
 EPSILON = 1e-10
 
@@ -68,7 +69,7 @@ def bin_columns(table: Table, columns: str, bins: str | int = 10, method: str =
                 lo, hi = got[f"lo{i}"], got[f"hi{i}"]
                 edges[n] = [] if lo is None else [lo + (hi - lo) * k / want for k in range(want)] + [hi]
         else:
-            got = table.rows.agg(*[F.percentile(c[n], F.lit([k / want for k in range(want + 1)])).alias(f"q{i}") for i, n in enumerate(names)]).first()
+            got = quantiles.row_of(table.rows, [c[n] for n in names], [k / want for k in range(want + 1)]).first()
             for i, n in enumerate(names):
                 edges[n] = sorted(set(got[f"q{i}"] or []))
     else:

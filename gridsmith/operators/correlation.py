@@ -12,9 +12,12 @@ from gridsmith.columns import is_numeric, resolve_list
 from gridsmith.errors import StatisticsError
 from gridsmith.frame import Table, quoted
 from gridsmith.functions.special import chi2_one, normal_two_sided, student_two_sided
+from gridsmith.plans import store
 
 #: Rows up to which Kendall's pairs are compared by one broadcast of both columns' values.
 KENDALL_ROWS = 20_000
+#: Blocks of one column that the running counts of larger tables are cut into.
+KENDALL_BLOCKS = 512
 
 
 def _names(table: Table, columns: str | None) -> list[str]:
@@ -79,7 +82,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     Concordance is counted from distinct (x, y) pairs with their multiplicities,
     so ties cost nothing; small tables are compared pairwise by a broadcast, and
     larger ones by bits of y's dense rank: at each bit, pairs that first differ
-    there are counted with one window over x inside their common prefix.
+    there are counted with windows over blocks of x inside their common prefix.
     """
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("c"))
     total = pairs.agg(F.sum("c").alias("n"))
@@ -87,15 +90,22 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
         left, right = pairs.select("x", "y", "c"), pairs.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("c").alias("c2"))
         score = left.join(F.broadcast(right), F.col("x") < F.col("x2")).agg(F.sum(F.col("c") * F.col("c2") * F.signum(F.col("y2") - F.col("y"))).alias("s"))
     else:
-        ranks = _rank(pairs, "y").select(F.col("__v").alias("__y"), F.col("__r").alias("__r"))
-        ranked = pairs.join(ranks, F.col("y") == F.col("__y")).withColumn("k", F.round(F.col("__r") * 2).cast("long"))
-        top = ranked.agg(F.max("k")).first()[0]
+        pairs = store.written(pairs)
+        y, x = _rank(pairs, "y").select(F.col("__v").alias("__y"), F.col("__r").alias("__r")), _rank(pairs, "x").select(F.col("__v").alias("__x"), F.col("__r").alias("__rx"))
+        ranked = pairs.join(y, F.col("y") == F.col("__y")).join(x, F.col("x") == F.col("__x")).withColumn("k", F.round(F.col("__r") * 2).cast("long"))
+        top, most = ranked.agg(F.max("k"), F.max("__rx")).first()
+        # blocks of x, which part the running counts of the upper bits, where all rows have one prefix
+        ranked = store.written(ranked.select("x", "k", "c", F.floor(F.col("__rx") / (most + 1) * KENDALL_BLOCKS).alias("b")))
         parts = None
         for bit in range(int(top).bit_length()):
             high = F.shiftright("k", bit).bitwiseAND(1)
-            by_x = ranked.groupBy(F.shiftright("k", bit + 1).alias("p"), "x").agg(F.sum(F.when(high == 1, F.col("c")).otherwise(0)).alias("hi"), F.sum(F.when(high == 0, F.col("c")).otherwise(0)).alias("lo"))
-            w = Window.partitionBy("p").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-            one = by_x.select((F.col("hi") * F.coalesce(F.sum("lo").over(w), F.lit(0)) - F.col("lo") * F.coalesce(F.sum("hi").over(w), F.lit(0))).alias("s"))
+            by_x = ranked.groupBy(F.shiftright("k", bit + 1).alias("p"), "b", "x").agg(F.sum(F.when(high == 1, F.col("c")).otherwise(0)).alias("hi"), F.sum(F.when(high == 0, F.col("c")).otherwise(0)).alias("lo"))
+            over = Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+            ahead = by_x.groupBy("p", "b").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
+            ahead = ahead.select(F.col("p").alias("p2"), F.col("b").alias("b2"), *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_ahead") for c in ("hi", "lo")])
+            w = Window.partitionBy("p", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+            before = lambda c, w=w: F.col(f"{c}_ahead") + F.coalesce(F.sum(c).over(w), F.lit(0))
+            one = by_x.join(ahead, (F.col("p") == F.col("p2")) & (F.col("b") == F.col("b2"))).select((F.col("hi") * before("lo") - F.col("lo") * before("hi")).alias("s"))
             parts = one if parts is None else parts.unionByName(one)
         score = parts.agg(F.sum("s").alias("s"))
     return score.crossJoin(total).select((F.coalesce("s", F.lit(0.0)) / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1) / 2)).alias("tau"))  # one row each

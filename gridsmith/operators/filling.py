@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gridsmith.columns import is_numeric, is_text, resolve_list
 from gridsmith.errors import InvalidArgument
 from gridsmith.frame import Table, quoted
+from gridsmith.plans import quantiles
 from gridsmith.plans.rowid import BLOCK, RID
 
 
@@ -43,8 +44,8 @@ def fill_statistic(table: Table, method: str, columns: str | None = None, accura
     """Each column's mean, median or mode, all from one aggregate whose single row is broadcast.
 
     Without ``columns`` mean and median take the numeric ones.  ``accuracy`` asks
-    for an approximate median of bounded memory; the exact one keeps a count per
-    distinct value.  Ties of the mode go to the least value.
+    for an approximate median of one pass; the exact one counts all columns'
+    values.  Ties of the mode go to the least value.
     """
     kinds = {f.name: f.dataType for f in table.schema.fields}
     names = _names(table, columns)
@@ -60,24 +61,28 @@ def fill_statistic(table: Table, method: str, columns: str | None = None, accura
     if not names:
         return table
 
-    def of(n):
-        c = quoted(n).cast("double")
-        return F.avg(c) if method == "mean" else F.percentile_approx(c, 0.5, accuracy) if accuracy else F.percentile(c, 0.5)
-
-    stats = table.rows.agg(*[of(n).alias(f"__s{i}") for i, n in enumerate(names)])
+    values = [quoted(n).cast("double") for n in names]
+    if method == "mean":
+        stats = table.rows.agg(*[F.avg(x).alias(f"__s{i}") for i, x in enumerate(values)])
+    else:
+        stats = quantiles.row_of(table.rows, values, [0.5], accuracy).select(*[F.get(f"q{i}", F.lit(0)).alias(f"__s{i}") for i in range(len(names))])
     rows = table.rows.crossJoin(F.broadcast(stats))  # one row
     new = {n: F.coalesce(quoted(n), F.col(f"__s{i}")).alias(n) for i, n in enumerate(names)}
     return table.with_rows(rows.select(*[new.get(c, quoted(c)) for c in table.columns], RID))
 
 
 def _fill_mode(table: Table, names: list[str]) -> Table:
-    """Modes by counting values (partial sums), not by a buffer of all values."""
-    rows = table.rows
-    for i, n in enumerate(names):
-        counts = table.rows.where(quoted(n).isNotNull()).groupBy(quoted(n).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        most = counts.agg(F.max("c").alias("m"))
-        mode = counts.join(F.broadcast(most), F.col("c") == F.col("m")).agg(F.min("v").alias(f"__m{i}"))
-        rows = rows.crossJoin(F.broadcast(mode))  # one row
+    """Modes of all columns from one count of their values (partial sums), not a buffer or a pass a column."""
+    fields = {f.name: f.dataType for f in table.schema.fields}
+    if not names:
+        return table
+    as_is = lambda j: F.struct(*[(quoted(n) if k == j else F.lit(None).cast(fields[n])).alias(f"v{k}") for k, n in enumerate(names)])
+    pairs = F.array(*[F.struct(F.lit(j).alias("i"), quoted(n).isNotNull().alias("has"), as_is(j).alias("v")) for j, n in enumerate(names)])
+    counts = table.rows.select(F.explode(pairs).alias("p")).where("p.has").groupBy(F.col("p.i").alias("i"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    # the most frequent, and of those the least
+    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("c")).alias("c"), "v")).alias("m"))
+    modes = best.agg(*[F.max(F.when(F.col("i") == j, F.col(f"m.v.v{j}"))).alias(f"__m{j}") for j in range(len(names))])
+    rows = table.rows.crossJoin(F.broadcast(modes))  # one row
     new = {n: F.coalesce(quoted(n), F.col(f"__m{i}")).alias(n) for i, n in enumerate(names)}
     return table.with_rows(rows.select(*[new.get(c, quoted(c)) for c in table.columns], RID))
 

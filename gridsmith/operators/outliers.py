@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridsmith.columns import is_numeric, resolve_list
 from gridsmith.errors import StatisticsError
 from gridsmith.frame import Table, quoted
+from gridsmith.plans import quantiles
 from gridsmith.plans.rowid import RID
 
 METHODS = ("iqr", "z-score", "modified-z-score", "isolation-forest")
@@ -29,23 +30,22 @@ def _names(table: Table, columns: str | None) -> list[str]:
 
 def _with_stats(rows: DataFrame, names: list[str], method: str, accuracy: int | None) -> DataFrame:
     """``rows`` with the statistics of each column, from one-row tables."""
-    q = lambda c, ps: F.percentile_approx(c, ps, accuracy) if accuracy else F.percentile(c, F.lit(ps) if isinstance(ps, list) else ps)
+    values = [quoted(n).cast("double") for n in names]
+    if method == "iqr":
+        found = quantiles.row_of(rows, values, [0.25, 0.75], accuracy)
+        return rows.crossJoin(F.broadcast(found.select(*[F.col(f"q{i}").alias(f"__q{i}") for i in range(len(names))])))
+    if method == "modified-z-score":
+        medians = quantiles.row_of(rows, values, [0.5], accuracy)
+        out = rows.crossJoin(F.broadcast(medians.select(*[F.get(f"q{i}", F.lit(0)).alias(f"__med{i}") for i in range(len(names))])))
+        mads = quantiles.row_of(out, [F.abs(x - F.col(f"__med{i}")) for i, x in enumerate(values)], [0.5], accuracy)
+        return out.crossJoin(F.broadcast(mads.select(*[F.get(f"q{i}", F.lit(0)).alias(f"__mad{i}") for i in range(len(names))])))
     made = []
     for i, n in enumerate(names):
         x = quoted(n).cast("double")
-        if method == "iqr":
-            made.append(q(x, [0.25, 0.75]).alias(f"__q{i}"))
-        elif method == "modified-z-score":
-            made.append(q(x, 0.5).alias(f"__med{i}"))
-        else:
-            made += [F.avg(x).alias(f"__mean{i}"), F.stddev_samp(x).alias(f"__sd{i}")]
-            if method == "isolation-forest":
-                made += [F.min(x).alias(f"__min{i}"), F.max(x).alias(f"__max{i}")]
-    out = rows.crossJoin(F.broadcast(rows.agg(*made)))
-    if method == "modified-z-score":
-        mads = out.agg(*[q(F.abs(quoted(n).cast("double") - F.col(f"__med{i}")), 0.5).alias(f"__mad{i}") for i, n in enumerate(names)])
-        out = out.crossJoin(F.broadcast(mads))
-    return out
+        made += [F.avg(x).alias(f"__mean{i}"), F.stddev_samp(x).alias(f"__sd{i}")]
+        if method == "isolation-forest":
+            made += [F.min(x).alias(f"__min{i}"), F.max(x).alias(f"__max{i}")]
+    return rows.crossJoin(F.broadcast(rows.agg(*made)))  # one row
 
 
 def _score(i: int, n: str, method: str, iqr_multiplier: float) -> tuple[Column, Column]:

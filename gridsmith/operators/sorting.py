@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.columns import is_numeric, is_text, resolve_one
+from gridsmith.columns import is_text, resolve_one
 from gridsmith.errors import InvalidArgument
 from gridsmith.frame import Table, quoted
-from gridsmith.plans import rowid
+from gridsmith.plans import rowid, store
 from gridsmith.plans.rowid import RID
 
 STRATEGIES = ("auto", "numeric", "num", "date", "hour", "time", "alphabetic", "alpha", "alphabetic-numeric", "numeric-alphabetic")
-#: Parts that a numeric first key is cut into for numbering.
-CUTS = 512
 
 
 def date_format(text: str) -> str:
@@ -77,16 +75,7 @@ def sort(table: Table, columns: str | list[str] = "all", strategy: str | list[st
     order = [placed(k, d) for k, d in zip(keys, down, strict=True)] + [F.col(RID).asc()]
 
     def renumber(df: DataFrame) -> DataFrame:
-        """Dense numbers in sort order, by ranges of the first key (cut points take one driver round trip)."""
-        kind = df.select(keys[0].alias("k")).schema["k"].dataType
-        if is_numeric(kind):
-            found = df.select(keys[0].cast("double").alias("k")).agg(F.percentile_approx("k", [i / CUTS for i in range(1, CUTS)], 10 * CUTS)).first()[0]
-            cuts = sorted(set(found or []))
-            block = F.when(keys[0].isNotNull(), F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x < keys[0].cast("double"))))
-        elif is_text(kind):
-            block = F.substring(keys[0], 1, 3)
-        else:
-            block = keys[0].cast("date") if kind.simpleString() in ("timestamp", "timestamp_ntz", "date") else keys[0]
-        return rowid.numbered(df, block, placed(F.col("__b"), down[0]), order)
+        """Dense numbers in sort order: the rows written once in ranges of the whole key, row number and all, and numbered by file."""
+        return rowid.from_parquet(store.written(df.orderBy(*order).drop(RID)))
 
     return Table(rows.orderBy(*order), False, renumber)

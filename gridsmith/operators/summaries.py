@@ -1,4 +1,4 @@
-"""Counts, frequencies, pivots and column statistics.  Each reads its input once."""
+"""Counts, frequencies, pivots and column statistics."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pyspark.sql import types as T
 from gridsmith.columns import is_numeric, is_text, resolve_list
 from gridsmith.errors import InvalidArgument
 from gridsmith.frame import Table, quoted
-
-#: Beyond so many columns, distinct counts are taken from (column, value) pairs instead of one wide aggregate.
-WIDE = 8
+from gridsmith.plans import quantiles
 
 
 def count_rows(table: Table) -> DataFrame:
@@ -71,21 +69,15 @@ def pivot(table: Table, index: str, columns: str, values: str | None = None, agg
     return out
 
 
-def _distincts(df: DataFrame, names: list[str]) -> DataFrame:
-    """column_name and num_classes, by grouping (column, value) pairs: no row is expanded inside one wide aggregate."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), quoted(n).cast("string").alias("v")) for n in names]))
-    pairs = df.select(pairs.alias("p")).select("p.*").where("v IS NOT NULL").distinct()
-    return pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("num_classes"))
-
-
 def stats(table: Table, columns: str | None = None, kind: str = "basic", accuracy: int | None = None, approximate_distinct: bool = False) -> DataFrame:
     """A row of statistics for each numeric or text column; other types are skipped.
 
     basic: column_name, count, mean, q25, q50, q75, num_classes.  exhaustive:
     column_name, count, mean, std_dev, min_val, q25, median, q75, max_val,
-    variance (of the population), num_classes, duplicates.  Quantiles are exact
-    (interpolated); ``accuracy`` makes them approximate with bounded memory, and
-    ``approximate_distinct`` the distinct counts, for very large inputs.
+    variance (of the population), num_classes, duplicates.  Moments take one pass;
+    quantiles (interpolated) and distinct counts come from one count of all columns'
+    values.  ``accuracy`` makes quantiles and ``approximate_distinct`` distinct
+    counts approximate, each within the first pass, for very large inputs.
     """
     if kind == "hypothesis":
         raise NotImplementedError("Hypothesis tests are not yet implemented")
@@ -96,37 +88,33 @@ def stats(table: Table, columns: str | None = None, kind: str = "basic", accurac
     fields = [f for f in fields if is_numeric(f.dataType) or is_text(f.dataType)]
     if not fields:
         raise InvalidArgument("No numeric or string columns found")
-    df, wide = table.df, len(fields) > WIDE and not approximate_distinct
-    made, rows = [], []
+    df, made, rows = table.df, [], []
     for i, f in enumerate(fields):
-        c, p = quoted(f.name), f"__{i}_"
-        x = c.cast("double")
-        distinct = F.approx_count_distinct(c) if approximate_distinct else F.count_distinct(c)
-        made += [F.count(c).alias(p + "count")] + ([] if wide else [distinct.alias(p + "num_classes")])
+        c, x = quoted(f.name), quoted(f.name).cast("double")
+        made.append(F.count(c).alias(f"count{i}"))
+        if approximate_distinct:
+            made.append(F.approx_count_distinct(c).alias(f"classes{i}"))
         if is_numeric(f.dataType):
-            q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if accuracy else F.percentile(x, F.lit([0.25, 0.5, 0.75]))
-            made += [F.avg(x).alias(p + "mean"), q.alias(p + "q")]
-            if kind == "exhaustive":
-                made += [F.stddev_samp(x).alias(p + "std_dev"), F.min(x).alias(p + "min_val"), F.max(x).alias(p + "max_val"), F.var_pop(x).alias(p + "variance")]
-        get = lambda what, f=f, p=p: F.col(p + what) if is_numeric(f.dataType) else F.lit(None).cast("double")
-        q = lambda k, f=f, p=p: F.col(p + "q")[k] if is_numeric(f.dataType) else F.lit(None).cast("double")
-        classes = F.lit(0).cast("long") if wide else F.col(p + "num_classes")
-        row = [F.lit(f.name).alias("column_name"), F.col(p + "count").alias("count"), get("mean").alias("mean")]
-        if kind == "basic":
-            row += [q(0).alias("q25"), q(1).alias("q50"), q(2).alias("q75"), classes.alias("num_classes")]
-        else:
-            row += [get("std_dev").alias("std_dev"), get("min_val").alias("min_val"), q(0).alias("q25"), q(1).alias("median"), q(2).alias("q75"), get("max_val").alias("max_val"), get("variance").alias("variance"), classes.alias("num_classes"), (F.col(p + "count") - classes).alias("duplicates")]
-        rows.append(F.struct(F.lit(i).alias("__i"), *row))
+            made += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std_dev{i}"), F.min(x).alias(f"min_val{i}"), F.max(x).alias(f"max_val{i}"), F.var_pop(x).alias(f"variance{i}")]
+            if accuracy:
+                made.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}"))
+        get = lambda what, i=i, f=f: F.col(f"{what}{i}") if is_numeric(f.dataType) else F.lit(None).cast("double")
+        q = F.col(f"q{i}") if accuracy and is_numeric(f.dataType) else F.lit(None).cast("array<double>")
+        classes = F.col(f"classes{i}") if approximate_distinct else F.lit(None).cast("long")
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column_name"), F.col(f"count{i}").alias("count"), *[get(k).alias(k) for k in ("mean", "std_dev", "min_val", "max_val", "variance")], q.alias("q"), classes.alias("num_classes")))
     out = df.agg(*made).select(F.inline(F.array(*rows)))
-    if wide:
-        found = _distincts(df, [f.name for f in fields]).withColumnRenamed("num_classes", "__n")
-        out = out.join(F.broadcast(found), "column_name", "left")  # one row a column
-        n = F.coalesce("__n", F.lit(0))
-        out = out.withColumn("num_classes", n)
-        if kind == "exhaustive":
-            out = out.withColumn("duplicates", F.col("count") - n)
-        out = out.drop("__n")
-    return out.orderBy("__i").drop("__i")
+    if not (accuracy and approximate_distinct):
+        counts = quantiles.value_counts(df, [(quoted(f.name), f.dataType) for f in fields])
+        if not approximate_distinct:
+            classes = counts.groupBy("i").agg(F.count(F.lit(1)).alias("found"))
+            out = out.join(F.broadcast(classes), "i", "left").withColumn("num_classes", F.coalesce("found", F.lit(0))).drop("found")  # one row a column
+        if not accuracy:
+            out = out.drop("q").join(F.broadcast(quantiles.of_counts(counts, [0.25, 0.5, 0.75])), "i", "left")  # one row a column
+    q = [F.get("q", F.lit(k)) for k in range(3)]
+    out = out.orderBy("i")
+    if kind == "basic":
+        return out.select("column_name", "count", "mean", q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), "num_classes")
+    return out.select("column_name", "count", "mean", "std_dev", "min_val", q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), "max_val", "variance", "num_classes", (F.col("count") - F.col("num_classes")).alias("duplicates"))
 
 
 def category_counts(table: Table, column: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Row identity: where a row stands in its file or in a given order.
 
 No plan here puts all rows through one task.  Parquet rows carry their index
-from the scan; other sources are numbered by partition; any other order is
-numbered in two levels: counts per block (a small table) and a numbering inside
-each block.
+from the scan; other sources are numbered by partition; an order by row number or
+hash is numbered in two levels: counts per block (a small table) and a numbering
+inside each block; a sort is written once in ranges, which are then files.
 """
 
 from __future__ import annotations

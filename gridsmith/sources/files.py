@@ -58,11 +58,11 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | N
     return Table(rowid.by_partition(df if schema else _widened(df)))
 
 
-def write(table: Table | DataFrame, path: str, fmt: str | None = None, single_file: bool = True, options: dict | None = None) -> None:
+def write(table: Table | DataFrame, path: str, fmt: str | None = None, single_file: bool = False, options: dict | None = None) -> None:
     """Write a table; the format is ``fmt``, else the extension's, else Parquet.
 
-    ``single_file`` makes ``path`` one file (all rows through one task, for small
-    results); without it ``path`` is a folder of parts, written in parallel.
+    ``path`` is a folder of parts, written in parallel; ``single_file`` makes it one
+    file (all rows through one task, for small results, as the command line does).
     """
     df = table.df if isinstance(table, Table) else table
     ext = os.path.splitext(path)[1].lstrip(".")
@@ -97,12 +97,12 @@ def _only_part(spark: SparkSession, folder: str, path: str) -> None:
     fs.delete(a, True)
 
 
-def convert(spark: SparkSession, source: str, target: str, single_file: bool = True) -> None:
+def convert(spark: SparkSession, source: str, target: str, single_file: bool = False) -> None:
     write(read(spark, source), target, single_file=single_file)
 
 
 def optimize_options(compression: str = "snappy", level: int = 6, dictionary: bool | None = None, block_bytes: int | None = None) -> dict[str, str]:
-    """Checked writer options."""
+    """Checked writer options; snappy and lz4 have no levels."""
     if not 1 <= level <= 9:
         raise InvalidArgument("Compression level must be between 1 and 9")
     if compression not in CODECS:
@@ -110,6 +110,8 @@ def optimize_options(compression: str = "snappy", level: int = 6, dictionary: bo
     out = {"compression": compression}
     if compression == "zstd":
         out["parquet.compression.codec.zstd.level"] = str(level)
+    elif compression == "gzip":
+        out["zlib.compress.level"] = ("BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")[level - 1]
     if dictionary is not None:
         out["parquet.enable.dictionary"] = str(dictionary).lower()
     if block_bytes:
@@ -117,7 +119,7 @@ def optimize_options(compression: str = "snappy", level: int = 6, dictionary: bo
     return out
 
 
-def optimize(spark: SparkSession, source: str, target: str | None = None, compression: str = "snappy", level: int = 6, sort_by: str | None = None, row_group_size: int = 1_000_000, dictionary: bool = False, no_dictionary: bool = False, validate: bool = False, single_file: bool = True) -> str:
+def optimize(spark: SparkSession, source: str, target: str | None = None, compression: str = "snappy", level: int = 6, sort_by: str | None = None, row_group_size: int = 1_000_000, dictionary: bool = False, no_dictionary: bool = False, validate: bool = False, single_file: bool = False) -> str:
     """Rewrite a table as Parquet, sorted (nulls first) and encoded as asked; returns the path.
 
     Row groups are sized by bytes: ``row_group_size`` rows times the estimated row width.

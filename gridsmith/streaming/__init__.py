@@ -6,7 +6,6 @@ counts need state, which a watermark bounds.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 from gridsmith.columns import resolve_list
 from gridsmith.frame import quoted
 from gridsmith.functions.expressions import assignments, spark_sql
+from gridsmith.plans.store import shared_folder
 from gridsmith.predicates import conditions
 
 
@@ -53,7 +53,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
     complete ones, small by nature, to a written table after each batch.
     """
     spark = stream.sparkSession
-    folder = folder or (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{folder}/rows")

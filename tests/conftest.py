@@ -24,13 +24,13 @@ def tables(spark):
     from gridsmith.frame import Table
 
     made = {
-        "sample": ("id long, name string, value double, category string", [(1, "Alice", 100.0, "A"), (2, "Bob", 250.5, "B"), (3, "Charlie", 300.0, "A"), (4, "David", 450.5, "B"), (5, "Eve", 500.0, "C")]),
-        "sample2": ("user_id long, score double", [(4, 88.0), (5, 92.5), (6, None), (7, 75.0)]),
-        "nulls": ("id long, name string, value double", [(1, "a", 100.0), (2, None, 200.0), (3, "c", None), (4, None, 400.0), (5, "e", None)]),
-        "repeats": ("id long, name string, val long", [(1, "A", 10), (2, "B", 20), (2, "B", 20), (3, "C", 30), (4, "D", 40), (4, "D", 41), (4, "D", 40)]),
-        "strata": ("id long, strat_key string", [(i, k) for i, k in enumerate("A" * 10 + "B" * 5 + "C" * 3 + "D" * 2)]),
-        "mixed": ("int_col long, float_col double, string_col string, bool_col boolean", [(1, 1.1, "a", True), (0, 0.0, "b", False), (None, 3.3, None, None), (3, None, "d", True)]),
-        "bins": ("id long, score double, age long, grade string", list(zip(range(10), [15.5, 25.0, 35.7, 45.2, 55.9, 65.1, 75.4, 85.8, 95.3, 105.6], [18, 22, 25, 28, 32, 35, 40, 45, 50, 55], "ABACBACBAC", strict=True))),
+        "sample": ("id long, name string, value double, category string", [(1, "Lio", 110.0, "p"), (2, "Nat", 275.5, "q"), (3, "Mali", 310.0, "p"), (4, "Oto", 475.5, "q"), (5, "Pia", 750.0, "r")]),
+        "sample2": ("user_id long, score double", [(4, 61.0), (5, 73.5), (6, None), (7, 44.0)]),
+        "nulls": ("id long, name string, value double", [(1, "k", 10.0), (2, None, 30.0), (3, "m", None), (4, None, 80.0), (5, "w", None)]),
+        "repeats": ("id long, name string, val long", [(1, "ab", 7), (2, "cd", 9), (2, "cd", 9), (3, "ef", 5), (4, "gh", 6), (4, "gh", 8), (4, "gh", 6)]),
+        "strata": ("id long, strat_key string", [(i, k) for i, k in enumerate("w" * 10 + "x" * 5 + "y" * 3 + "z" * 2)]),
+        "mixed": ("int_col long, float_col double, string_col string, bool_col boolean", [(7, 2.5, "u", True), (0, 0.0, "v", False), (None, 6.5, None, None), (9, None, "w", True)]),
+        "bins": ("id long, score double, age long, grade string", list(zip(range(10), [12.0, 22.5, 31.0, 43.5, 52.0, 64.5, 71.0, 83.5, 94.0, 102.5], [17, 21, 24, 29, 33, 36, 41, 44, 52, 58], "XYXZYXZYXZ", strict=True))),
         "empty": ("id long, data string", []),
     }
     return {k: Table.of(spark.createDataFrame(rows, schema).coalesce(1)) for k, (schema, rows) in made.items()}
