@@ -6,6 +6,7 @@ order.  Floating sums are rounded on both sides, since their order may differ.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -171,6 +172,7 @@ simple("sort_skip", "lineitem", lambda t: positions(sorting.sort(with_nulls(t),
 simple("sort_ci", "part", lambda t: positions(sorting.sort(t, "p_name", strategy="alphabetic", ignore_case=True)).select("pos", "p_partkey"), f"SELECT row_number() OVER (ORDER BY lower(p_name), rn) AS pos, p_partkey FROM {numbered('part')}")
 simple("sort_numeric_str", "orders", lambda t: positions(sorting.sort(projection.create(t, "s=cast(o_custkey AS STRING)"), "s", strategy="numeric", descending=True)).select("pos", "o_orderkey"), f"SELECT row_number() OVER (ORDER BY o_custkey DESC, rn) AS pos, o_orderkey FROM {numbered('orders')}")
 simple("sort_date_fmt", "orders", lambda t: positions(sorting.sort(projection.create(t, "d=date_format(o_orderdate, 'dd/MM/yyyy')"), "d", strategy="date", date_fmt="dd/mm/yyyy")).select("pos", "o_orderkey"), f"SELECT row_number() OVER (ORDER BY o_orderdate::DATE, rn) AS pos, o_orderkey FROM {numbered('orders')}")
+simple("sort_hour", "events", lambda t: positions(sorting.sort(projection.create(t, "h=date_format(ts, 'HH:mm:ss')"), "h", strategy="hour", hour_fmt="hh:mm:ss")).select("pos", "event_id"), f"SELECT row_number() OVER (ORDER BY strftime(ts, '%H:%M:%S'), rn) AS pos, event_id FROM {numbered('events')}")
 simple("sort_all", "nation", lambda t: positions(sorting.sort(t, "all", descending=True)), "SELECT row_number() OVER (ORDER BY n_nationkey DESC) AS pos, * FROM nation")
 
 # Counts, pivots, statistics
@@ -243,6 +245,7 @@ def _case(c: str, edges: list[float], labels: list[str] | None = None) -> str:
 
 
 simple("bin_width", "lineitem", lambda t: binning.bin_columns(projection.select_columns(t, "l_orderkey,l_quantity"), "l_quantity", 7), f"SELECT l_orderkey, l_quantity, {_case('l_quantity', [1 + 49 * k / 7 for k in range(7)] + [50])} AS l_quantity_binned FROM lineitem")
+simple("bin_lowest", "lineitem", lambda t: binning.bin_columns(projection.select_columns(t, "l_orderkey,l_quantity"), "l_quantity", "2,10,40", "custom", include_lowest=True), f"SELECT l_orderkey, l_quantity, {_case('l_quantity', [2 - 1e-10, 10, 40])} AS l_quantity_binned FROM lineitem")
 simple("bin_custom_labels", "lineitem", lambda t: binning.bin_columns(projection.select_columns(t, "l_orderkey,l_quantity"), "l_quantity", "5,20,35", "custom", labels="low,high"), f"SELECT l_orderkey, l_quantity, {_case('l_quantity', [5, 20, 35], ['low', 'high'])} AS l_quantity_binned FROM lineitem")
 simple("bin_multi", "lineitem", lambda t: binning.bin_columns(projection.select_columns(t, "l_orderkey,l_quantity,l_linenumber"), "l_quantity,l_linenumber", "1,3,5,40", suffix="_b", drop_original=True), f"SELECT l_orderkey, {_case('l_quantity', [1, 3, 5, 40])} AS l_quantity_b, {_case('l_linenumber', [1, 3, 5, 40])} AS l_linenumber_b FROM lineitem")
 simple("bin_freq", "lineitem", lambda t: binning.bin_columns(projection.select_columns(t, "l_orderkey,l_quantity"), "l_quantity", 4, "equal-frequency", labels="q1,q2,q3,q4"), "WITH e AS (SELECT quantile_cont(l_quantity, [0.25, 0.5, 0.75]) AS q FROM lineitem) SELECT l_orderkey, l_quantity, CASE WHEN l_quantity < q[1] THEN 'q1' WHEN l_quantity < q[2] THEN 'q2' WHEN l_quantity < q[3] THEN 'q3' ELSE 'q4' END AS l_quantity_binned FROM lineitem, e")
@@ -264,15 +267,84 @@ simple("split_strat", "orders", lambda t: sampling.split(t, "0.6,0.4", "o_orders
 
 # Sizes and metadata
 simple("size", "nation", lambda t: sizes.size(t, per_column=True, per_row=True), "SELECT * FROM (VALUES ('total_rows', '25'), ('total_columns', '3'), ('memory_size', '800 B'), ('average_row_size', '32 B'), ('column_n_nationkey', '100 B'), ('column_n_name', '600 B'), ('column_n_regionkey', '100 B')) AS t(metric, value)")
-for _part in ("basic", *footer.PARTS):
-    query(f"metadata_{_part}")(lambda spark, sf_dir, p=_part: footer.metadata(spark, f"{sf_dir}/nation.parquet", () if p == "basic" else (p,)))
+
+#: What DuckDB reads in the same footer; the file has the same bytes at every scale.
+_FOOTER = "/root/testdata/sf0.01/nation.parquet"
+_PER_CENT = "printf('%.2f%%', 100.0 * {} / {})"
+_CHUNKS = f"(SELECT *, total_compressed_size AS a, total_uncompressed_size AS b FROM parquet_metadata('{_FOOTER}'))"
+
+
+def _listed(rows: str, prefix: str, **values: str) -> str:
+    """(key, value) rows of some expressions over ``rows``."""
+    return f"SELECT {prefix} || unnest([{', '.join(repr(k) for k in values)}]) AS key, unnest([{', '.join(f'({v})::VARCHAR' for v in values.values())}]) AS value FROM {rows}"
+
+
+_BASIC = _listed(
+    f"parquet_file_metadata('{_FOOTER}'), (SELECT sum(a) AS a, sum(b) AS b, count(DISTINCT column_id) AS columns FROM {_CHUNKS}), (SELECT count(*) AS pairs FROM parquet_kv_metadata('{_FOOTER}'))",
+    "''",
+    file_version="'2.6'",
+    created_by="created_by",
+    total_rows="num_rows",
+    num_row_groups="num_row_groups",
+    num_columns="columns",
+    total_compressed_size="a",
+    total_uncompressed_size="b",
+    compression_ratio=_PER_CENT.format("a", "b"),
+    schema_name="'schema'",
+    schema_num_fields="columns",
+    key_value_metadata_count="pairs",
+)
+_BASIC += f" UNION ALL SELECT 'metadata_' || decode(key), decode(value) FROM parquet_kv_metadata('{_FOOTER}')"
+_ENCODINGS = f"(SELECT e, count(*) AS n, sum(count(*)) OVER () AS every FROM (SELECT unnest(string_split(encodings, ', ')) AS e FROM {_CHUNKS}) GROUP BY e)"
+_PARTS_SQL = {
+    "basic": None,
+    "schema": _listed(
+        f"(SELECT *, row_number() OVER (ORDER BY column_id) - 1 AS i, repetition_type = 'OPTIONAL' AS optional FROM parquet_schema('{_FOOTER}') WHERE type IS NOT NULL)",
+        "'column_' || i || '_'",
+        name="name",
+        physical_type="type",
+        logical_type="CASE WHEN logical_type LIKE 'StringType%' THEN 'STRING' ELSE coalesce(logical_type, 'NONE') END",
+        max_definition_level="optional::INT",
+        max_repetition_level="(repetition_type = 'REPEATED')::INT",
+        is_optional="optional",
+        converted_type="coalesce(converted_type, 'NONE')",
+        precision="coalesce(precision, -1)",
+        scale="coalesce(scale, -1)",
+        length="coalesce(type_length, '0')",
+    ),
+    "row_groups": _listed(f"(SELECT row_group_id AS i, any_value(row_group_num_rows) AS n, any_value(row_group_bytes) AS b, sum(a) AS a, count(*) AS columns FROM {_CHUNKS} GROUP BY 1)", "'row_group_' || i || '_'", num_rows="n", total_byte_size="b", compressed_size="a", num_columns="columns", compression_ratio=_PER_CENT.format("a", "b")),
+    "column_chunks": _listed(
+        _CHUNKS,
+        "'rg_' || row_group_id || '_col_' || column_id || '_'",
+        path="path_in_schema",
+        type="type",
+        encodings="replace(encodings, ', ', ',')",
+        compression="compression",
+        uncompressed_size="b",
+        compressed_size="a",
+        num_values="num_values",
+        compression_ratio=_PER_CENT.format("a", "b"),
+        null_count="stats_null_count",
+        distinct_count="coalesce(stats_distinct_count::VARCHAR, 'N/A')",
+        min="stats_min_value",
+        max="stats_max_value",
+    ),
+    "compression": _listed(f"(SELECT compression AS codec, sum(a) AS a, sum(b) AS b, count(*) AS n FROM {_CHUNKS} GROUP BY 1)", "'compression_' || codec || '_'", compressed_size="a", uncompressed_size="b", chunk_count="n", ratio=_PER_CENT.format("a", "b")) + f" UNION ALL SELECT 'overall_compression_ratio', {_PER_CENT.format('sum(a)', 'sum(b)')} FROM {_CHUNKS}",
+    "encoding": _listed(_ENCODINGS, "'encoding_' || e || '_'", usage_count="n", percentage=_PER_CENT.format("n", "every")),
+    "statistics": _listed(f"(SELECT count(*) AS n, count(stats_min_value) AS have, sum(stats_null_count) AS nulls, count(stats_distinct_count) AS classes FROM {_CHUNKS})", "'statistics_'", total_chunks="n", with_statistics="have", coverage=_PER_CENT.format("have", "n"), total_null_count="nulls", chunks_with_distinct_count="classes"),
+}
+for _part, _own in _PARTS_SQL.items():
+    query(f"metadata_{_part}", _BASIC + (f" UNION ALL {_own}" if _own else ""))(lambda spark, sf_dir, p=_part: footer.metadata(spark, f"{sf_dir}/nation.parquet", () if p == "basic" else (p,)))
+
+
+@query("footer_count", "SELECT count(*) AS row_count FROM lineitem")
+def footer_count(spark, sf_dir):
+    return spark.createDataFrame([(footer.count(spark, f"{sf_dir}/lineitem.parquet"),)], "row_count bigint")
 
 
 # Files: written under the session's shared folder, and read back
 def _written(fmt: str, table: str, schema: str, **options):
     def run(spark, sf_dir):
-        import uuid
-
         path = f"{store.shared_folder(spark)}/files/{uuid.uuid4().hex}.{fmt}"
         files.write(load(spark, sf_dir, table), path, fmt, single_file=False, options=options)
         return files.read(spark, path, fmt, schema).df
@@ -286,6 +358,13 @@ query("convert_json", "SELECT * FROM nation")(_written("json", "nation", _NATION
 query("optimize_zstd", "SELECT * FROM nation")(_written("parquet", "nation", _NATION, **files.optimize_options("zstd", 3)))
 
 
+@query("optimize_sorted", "SELECT row_number() OVER (ORDER BY n_name) AS pos, * FROM nation")
+def optimize_sorted(spark, sf_dir):
+    """Sorted and encoded anew; the rows, read back, are in that order."""
+    path = f"{store.shared_folder(spark)}/files/{uuid.uuid4().hex}.parquet"
+    return positions(files.read(spark, files.optimize(spark, f"{sf_dir}/nation.parquet", path, "gzip", 9, sort_by="n_name"))).df
+
+
 # The row-local operators on a stream, and windowed counts with a watermark
 @query("stream_filter", "SELECT event_id, event_type, value, value * 2 AS twice FROM events WHERE value >= 100")
 def stream_filter(spark, sf_dir):
