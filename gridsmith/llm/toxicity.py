@@ -39,7 +39,7 @@ from gridsmith.llm.arrowmap import arrow_map, map_batches, slices, table
 MAX_TOXIC, MAX_CLEAN = 600, 1800
 LINK, LEAST_RATIO = 8.0, 20.0
 ROUNDS, RATE, L2 = 40, 0.5, 0.05
-FIT_DOCS = 200
+FIT_DOCS = 800
 BLOCK = 64
 SPAN_LEVEL = 0.5
 COUNTED = 0.2
