@@ -91,7 +91,7 @@ def _search(t, a):
 def _create(t, a):
     if not a.column and not a.row:
         raise InvalidArgument("Either --column or --row must be specified")
-    return projection.create(t, a.column, a.row)
+    return projection.create(t, a.column, a.row, a.int_division, a.zero_division)
 
 
 #: command: (what it does, function of table and arguments, its options)
@@ -116,7 +116,7 @@ COMMANDS = {
     "filter": ("Rows by conditions", _filter, [O("-c", "--columns"), O("-r", "--rows")]),
     "search": ("Rows with a value", _search, [O("--value", required=True), O("-c", "--columns"), O("-r", "--rows", **FLAG), O("--ignore-case", **FLAG), O("--exact", **FLAG)]),
     "rename": ("Rename columns", lambda t, a: projection.rename(t, a.columns), [O("-c", "--columns", required=True)]),
-    "create": ("New columns", _create, [O("-c", "--column"), O("-r", "--row")]),
+    "create": ("New columns", _create, [O("-c", "--column"), O("-r", "--row"), O("--int-division", choices=["double", "truncate"], default="double"), O("--zero-division", choices=["error", "null"], default="error")]),
     "id": ("A row number column", lambda t, a: projection.add_id(t, a.create, a.prefix, a.id_col_name), [O("--create", **FLAG), O("--prefix", default="id"), O("--id-col-name", default="id")]),
     "shuffle": ("Random order", lambda t, a: sampling.shuffle(t, a.random), []),
     "sample": ("Some rows", lambda t, a: sampling.sample(t, a.number, a.method, a.stratify_by, a.random), [O("-n", "--number", type=int, default=10), O("--method", default="random"), O("--stratify-by")]),

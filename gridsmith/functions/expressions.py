@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from gridsmith.errors import InvalidArgument
 
 _OPEN, _CLOSE = "([{", ")]}"
@@ -62,3 +65,64 @@ def spark_sql(expr: str) -> str:
             ch = "`"
         out.append(ch)
     return "".join(out)
+
+
+_TOKEN = re.compile(r"\s+|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|[^\W\d][\w.]*|<=>|<=|>=|<>|!=|\|\||::|.", re.S)
+#: Words that part operands.
+_WORDS = frozenset("and or not when then else end in is like ilike rlike between distinct from as asc desc nulls over partition order by rows range preceding following".split())
+
+
+class _Divisions:
+    """An expression written again, with each ``x / y`` given to ``divide``, the inner ones first."""
+
+    def __init__(self, expr: str, divide: Callable[[str, str], str]):
+        self.tokens, self.at, self.divide = [t for t in _TOKEN.findall(expr) if not t.isspace()], 0, divide
+
+    def peek(self) -> str:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ""
+
+    def take(self) -> str:
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def until(self, end: str) -> str:
+        """Everything up to ``end`` (a bracket or a word), which is taken too unless it is empty."""
+        out = []
+        while (tok := self.peek()) and tok.lower() != end:
+            if tok[0] in "'\"`(" or tok[0].isalnum() or tok[0] == "_":
+                out.append(self.take() if tok.lower() in _WORDS else self.chain())
+            else:
+                out.append(self.take())
+        if end and self.peek():
+            self.take()
+        return " ".join(out)
+
+    def chain(self) -> str:
+        """Operands joined by operators of the rank of division, from the left."""
+        left = self.operand()
+        while self.peek().lower() in ("*", "/", "%", "div"):
+            op, right = self.take(), self.operand()
+            left = self.divide(left, right) if op == "/" else f"{left} {op} {right}"
+        return left
+
+    def operand(self) -> str:
+        tok = self.take() if self.peek() else ""
+        if tok in ("-", "+", "~"):
+            return tok + self.operand()
+        if tok == "(":
+            out = f"({self.until(')')})"
+        elif tok.lower() == "case":
+            out = f"CASE {self.until('end')} END"
+        elif self.peek() == "(" and (tok[:1].isalpha() or tok[:1] == "_"):
+            self.take()
+            out = f"{tok}({self.until(')')})"
+        else:
+            out = tok
+        while self.peek() in ("[", "::"):
+            out += f"[{self.until(']')}]" if self.take() == "[" else f"::{self.operand()}"
+        return out
+
+
+def with_divisions(expr: str, divide: Callable[[str, str], str]) -> str:
+    """``expr`` with each division written by ``divide(left, right)``."""
+    return _Divisions(expr, divide).until("")

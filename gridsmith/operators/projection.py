@@ -7,11 +7,12 @@ import re
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsmith.columns import arrow_name, resolve_list
 from gridsmith.errors import ColumnNotFound, InvalidArgument
 from gridsmith.frame import Table, quoted
-from gridsmith.functions.expressions import assignments, spark_sql
+from gridsmith.functions.expressions import assignments, spark_sql, with_divisions
 from gridsmith.plans.rowid import RID
 
 
@@ -37,8 +38,22 @@ def rename(table: Table, spec: str) -> Table:
     return table.select(*[quoted(c).alias(n) for c, n in zip(table.columns, final, strict=True)])
 
 
-def create(table: Table, spec: str | None = None, row_filter: str | None = None) -> Table:
-    """New columns ``n=expr,...`` after the others, all from the input's columns; ``row_filter`` goes first."""
+def create(table: Table, spec: str | None = None, row_filter: str | None = None, int_division: str = "double", zero_division: str = "error") -> Table:
+    """New columns ``n=expr,...`` after the others, all from the input's columns; ``row_filter`` goes first.
+
+    ``int_division="truncate"`` makes ``/`` of two integers an integer without its
+    fraction, and ``zero_division="null"`` makes ``x / 0`` null.
+    """
+    if int_division not in ("double", "truncate") or zero_division not in ("error", "null"):
+        raise InvalidArgument("int_division is double or truncate, zero_division error or null")
+    plain = int_division == "double" and zero_division == "error"
+
+    def divide(a: str, b: str) -> str:
+        kinds = table.df.select(F.expr(a).alias("a"), F.expr(b).alias("b")).schema
+        if int_division == "truncate" and all(isinstance(f.dataType, T.IntegralType) for f in kinds):
+            return f"({a} div {f'nullif({b}, 0)' if zero_division == 'null' else b})"
+        return f"try_divide({a}, {b})" if zero_division == "null" else f"({a} / {b})"
+
     try:
         if row_filter:
             table = table.where(F.expr(spark_sql(row_filter)))
@@ -46,7 +61,8 @@ def create(table: Table, spec: str | None = None, row_filter: str | None = None)
         for name, expr in assignments(spec) if spec else []:
             if name in table.columns or name in [n for n, _ in made]:
                 raise InvalidArgument(f"Column {name!r} already exists")
-            made.append((name, F.expr(spark_sql(expr)).alias(name)))
+            text = spark_sql(expr)
+            made.append((name, F.expr(text if plain else with_divisions(text, divide)).alias(name)))
         return table.select(*[quoted(c) for c in table.columns], *[c for _, c in made])
     except (AnalysisException, ParseException) as e:
         raise InvalidArgument(f"Invalid expression: {e}") from e

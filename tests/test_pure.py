@@ -91,3 +91,20 @@ def test_formats_and_sizes():
     assert display.number(0.0001) == "1.00e-04" and display.number(2.5) == "2.500"
     assert "Record 1" in display.cards([{"a": 1}])
     assert "1.000" in display.matrix([{"variable": "x", "corr_with_x": 1.0}])
+
+
+def test_divisions_are_found():
+    from gridsmith.functions.expressions import with_divisions
+
+    d = lambda a, b: f"D[{a}|{b}]"
+    for text, want in [
+        ("a/b", "D[a|b]"),
+        ("a / b / c", "D[D[a|b]|c]"),
+        ("a*b/c+d", "D[a * b|c] + d"),
+        ("-a / -b", "- D[a|-b]"),
+        ("f(x/2, 'a/b') / (c/d)", "D[f(D[x|2] , 'a/b')|(D[c|d])]"),
+        ("CASE WHEN a/2 > 1 THEN b ELSE c/3 END / 4", "D[CASE when D[a|2] > 1 then b else D[c|3] END|4]"),
+        ("`x/y` / 2 AND p OR q / 3", "D[`x/y`|2] AND p OR D[q|3]"),
+        ("m[1/1]/2::int", "D[m[D[1|1]]|2::int]"),
+    ]:
+        assert with_divisions(text, d).lower() == want.lower()
