@@ -136,7 +136,7 @@ def cut_at(queues: DataFrame, budget: float, latest: float, cap: int = CAP) -> t
     while True:
         # documents in service within the range
         start = (F.col("before") + F.col("source_size") * F.col("pass")) / F.col("target")
-        within = served.where((start <= high) & (start + F.col("size") / F.col("target") * 1.000001 >= low))
+        within = served.where((start <= high + 1e-9) & (start + F.col("size") / F.col("target") >= low - 1e-9))
         packets = within.select("*", F.explode(_packets(F.col("pass"))).alias("p")).where((F.col("p.time") >= low) & (F.col("p.time") <= high))
         width = (high - low) / RANGES
         at = F.floor((F.col("p.time") - low) / width)
