@@ -31,6 +31,8 @@ targets of 0.  Columns of any names stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -207,14 +209,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float =
     end = lambda p: F.struct(*[F.col(f"{cut}.cut{p}.{c}").alias(c) for c in ("key", "doc_id", "size")])
     there = lambda p: F.col(f"{cut}.cut{p}").isNotNull() & (F.col(mine) == end(p))
     # of equal rows at a cut, of which only some are taken, each has a number; elsewhere none is needed
-    some = F.lit(False)
-    for p in range(cap):
-        some = some | there(p) & (F.col(f"{cut}.cut{p}.copy") < F.col(f"{cut}.cut{p}.copies") - 1)
-    some = F.coalesce(some, F.lit(False))
-    parted = scratch.keep(out.where(some))
-    out = out.where(~some).withColumn(number, F.lit(0).cast("long"))
-    if parted.take(1):
-        out = out.unionByName(_numbered(parted, mine, number))
+    in_part = lambda p: F.col(f"{cut}.cut{p}.copy") < F.col(f"{cut}.cut{p}.copies") - 1
+    if cuts.where(reduce(lambda a, b: a | b, [F.coalesce(in_part(p), F.lit(False)) for p in range(cap)])).take(1):
+        some = reduce(lambda a, b: a | b, [F.coalesce(there(p) & in_part(p), F.lit(False)) for p in range(cap)])
+        parted = scratch.keep(out.where(some))
+        out = out.where(~some).withColumn(number, F.lit(0).cast("long")).unionByName(_numbered(parted, mine, number))
+    else:
+        out = out.withColumn(number, F.lit(0).cast("long"))
     takes = [F.col(f"{cut}.cut{p}").isNotNull() & (F.col(f"{mine}.size") > 0) & ((F.col(mine) < end(p)) | there(p) & (F.col(number) <= F.col(f"{cut}.cut{p}.copy"))) for p in range(cap)]
     passes = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(p)) for p, t in enumerate(takes)]))
     out = out.withColumn(passed, F.explode(passes))
