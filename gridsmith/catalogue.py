@@ -105,7 +105,7 @@ simple("rename_swap", "nation", lambda t: projection.rename(t, "n_name=n_nationk
 simple("create_arith", "lineitem", lambda t: rounded(projection.create(t, "revenue=l_extendedprice*(1-l_discount),twice=l_quantity*2").df), "SELECT * REPLACE (round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice, round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax), round(l_extendedprice * (1 - l_discount), 4) AS revenue, round(l_quantity * 2, 4) AS twice FROM lineitem")
 simple("create_case", "orders", lambda t: projection.create(t, "size_class=CASE WHEN o_totalprice >= 200000 THEN 'big' ELSE 'small' END, code=concat(substr(\"o_orderpriority\", 1, 1), o_orderstatus)"), "SELECT *, CASE WHEN o_totalprice >= 200000 THEN 'big' ELSE 'small' END AS size_class, substr(o_orderpriority, 1, 1) || o_orderstatus AS code FROM orders")
 simple("create_filtered", "orders", lambda t: projection.create(t, "k=o_custkey+1", "o_totalprice > 100000 AND o_orderstatus IN ('F', 'P')"), "SELECT *, o_custkey + 1 AS k FROM orders WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'P')")
-simple("create_division", "lineitem", lambda t: projection.select_columns(projection.create(t, "half=l_linenumber/2,rate=l_extendedprice/l_quantity,safe=2*l_quantity/(l_linenumber-1),whole=l_orderkey/(l_linenumber-1)", int_division="truncate", zero_division="null"), "l_orderkey,l_linenumber,half,rate,safe,whole"), "SELECT l_orderkey, l_linenumber, l_linenumber // 2 AS half, l_extendedprice / l_quantity AS rate, CASE WHEN l_linenumber <> 1 THEN 2 * l_quantity / (l_linenumber - 1) END AS safe, CASE WHEN l_linenumber <> 1 THEN l_orderkey // (l_linenumber - 1) END AS whole FROM lineitem")
+simple("create_division", "lineitem", lambda t: projection.select_columns(projection.create(t, "half=l_linenumber/2,rate=l_extendedprice/l_quantity,safe=2*l_quantity/(l_linenumber-1),whole=l_orderkey/(l_linenumber-1)", int_division="truncate", zero_division="null"), "l_orderkey,l_linenumber,half,rate,safe,whole"), "SELECT l_orderkey, l_linenumber, (l_linenumber // 2)::BIGINT AS half, l_extendedprice / l_quantity AS rate, CASE WHEN l_linenumber <> 1 THEN 2 * l_quantity / (l_linenumber - 1) END AS safe, CASE WHEN l_linenumber <> 1 THEN l_orderkey // (l_linenumber - 1) END AS whole FROM lineitem")
 simple("id_prefix", "nation", lambda t: projection.add_id(t, prefix="REC-", name="id"), f"SELECT 'REC-' || rn AS id, * EXCLUDE rn FROM {numbered('nation')}")
 simple("id_numeric", "orders", lambda t: projection.add_id(t, prefix="", name="row"), f"SELECT rn AS row, * EXCLUDE rn FROM {numbered('orders')}")
 simple("headers", "lineitem", lambda t: projection.headers(t, "key$"), "SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey']) AS header")
