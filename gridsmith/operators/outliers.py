@@ -35,9 +35,11 @@ def _with_stats(rows: DataFrame, names: list[str], method: str, accuracy: int |
         found = quantiles.row_of(rows, values, [0.25, 0.75], accuracy)
         return rows.crossJoin(F.broadcast(found.select(*[F.col(f"q{i}").alias(f"__q{i}") for i in range(len(names))])))
     if method == "modified-z-score":
-        medians = quantiles.row_of(rows, values, [0.5], accuracy)
-        out = rows.crossJoin(F.broadcast(medians.select(*[F.get(f"q{i}", F.lit(0)).alias(f"__med{i}") for i in range(len(names))])))
-        mads = quantiles.row_of(out, [F.abs(x - F.col(f"__med{i}")) for i, x in enumerate(values)], [0.5], accuracy)
+        # the medians, one value a column, take a driver round trip: else each use of them would be planned anew
+        got = quantiles.row_of(rows, values, [0.5], accuracy).first()
+        medians = [F.lit(got[f"q{i}"][0] if got[f"q{i}"] else None).cast("double") for i in range(len(names))]
+        mads = quantiles.row_of(rows, [F.abs(x - m) for x, m in zip(values, medians, strict=True)], [0.5], accuracy)
+        out = rows.select("*", *[m.alias(f"__med{i}") for i, m in enumerate(medians)])
         return out.crossJoin(F.broadcast(mads.select(*[F.get(f"q{i}", F.lit(0)).alias(f"__mad{i}") for i in range(len(names))])))
     made = []
     for i, n in enumerate(names):
